@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:
     """The row with the smallest ``order`` per key, as one aggregate."""
+    if len(order) == 1 and len(keep) == 1:
+        # one number per side keeps Spark on hash aggregation
+        return df.groupBy(*keys).agg(F.min_by(keep[0], order[0]).alias(keep[0]))
     packed = F.struct(
         *[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in keep]
     )
@@ -38,16 +41,24 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, p
     return df.withColumn(position, F.row_number().over(window)).where(F.col(position) <= n)
 
 
-def assign_keys(df: DataFrame, natural: list[str], key: str, start: int = 0, hex_digits: int = 3) -> DataFrame:
+ONE_TASK_ROWS = 100_000
+
+
+def assign_keys(
+    df: DataFrame, natural: list[str], key: str, start: int = 0, n_rows: int | None = None, hex_digits: int = 3
+) -> DataFrame:
     """Dense integer keys for distinct natural keys, in md5 order.
 
-    Rows are numbered inside 16**hex_digits equal hash ranges and shifted by
+    A table counted as small is numbered in one sort. Otherwise rows are numbered inside 16**hex_digits equal hash ranges and shifted by
     the sizes of the ranges before, so no task sees more than one range. The
     range sizes are at most 4096 rows, which bounds what is broadcast.
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws("|", *natural))).withColumn(
         "_range", F.substring("_h", 1, hex_digits)
     )
+    if n_rows is not None and n_rows <= ONE_TASK_ROWS:
+        place = F.row_number().over(Window.orderBy("_h", *natural))
+        return hashed.withColumn(key, (F.lit(start) + place).cast("int")).drop("_h", "_range")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         hashed.groupBy("_range")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from almanac.operators.ordering import assign_keys, first_per_key
+from almanac.operators.ordering import ONE_TASK_ROWS, assign_keys, first_per_key
 from almanac.schemas import FACT_KEY
+from almanac.session import written
 
 
 def seed_dim_date(spark: SparkSession, first: int, last: int) -> DataFrame:
@@ -31,7 +32,9 @@ def distinct_pairs(silver: DataFrame) -> DataFrame:
 def new_indicators(silver: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Indicator rows for codes not seen before, with keys after the last one.
 
-    A code with several names keeps the smallest name.
+    A code with several names keeps the smallest name. The distinct codes are
+    written out: the source rows are then read only once, and joins against
+    the dimension see its true size.
     """
     natural = ["source_system", "indicator_code"]
     fresh = silver.groupBy(F.col("source_code").alias("source_system"), "indicator_code").agg(
@@ -41,8 +44,11 @@ def new_indicators(silver: DataFrame, existing: DataFrame | None = None) -> Data
     if existing is not None:
         fresh = fresh.join(existing, natural, "left_anti")
         start = existing.agg(F.coalesce(F.max("indicator_sk"), F.lit(0))).first()[0]
-    keyed = assign_keys(fresh, natural, "indicator_sk", start)
-    return keyed.select("indicator_sk", *natural, "indicator_name")
+    fresh = written(fresh, "new-codes")
+    n_rows = fresh.count()
+    keyed = assign_keys(fresh, natural, "indicator_sk", start, n_rows)
+    keyed = keyed.select("indicator_sk", *natural, "indicator_name")
+    return keyed if n_rows <= ONE_TASK_ROWS else written(keyed, "new-indicators")
 
 
 def with_surrogates(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from almanac.operators import warehouse
 from almanac.schemas import FIRST_YEAR, LAST_YEAR
+from almanac.session import written
 
 STATUSES = ["pending", "processing", "bronze", "silver", "done", "failed"]
 REPORT_STATUSES = ["pending", "processing", "bronze", "done", "failed"]
@@ -31,6 +32,9 @@ def idiv(column: str, by: int) -> Column:
     return F.floor(F.col(column) / F.lit(by))
 
 
+_SCHEMAS: dict = {}  # footers are read once per file, not once per query
+
+
 class Tables:
     """Lazily built DataFrames over one folder of Parquet tables."""
 
@@ -39,7 +43,10 @@ class Tables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     # --- operational registry -------------------------------------------------
 
@@ -196,12 +203,17 @@ class Tables:
         valid, _ = warehouse.surrogate_lookup(
             self.silver, self.dim_location, self.dim_indicator, self.dim_date
         )
-        return warehouse.first_write_wins(valid, ["file_id", "ord"])
+        return warehouse.first_write_wins(valid, ["ord"])
 
     @cached_property
     def star(self) -> DataFrame:
         return warehouse.star_rows(self.facts, self.dim_indicator, self.dim_location, self.dim_date)
 
+    @cached_property
+    def star_table(self) -> DataFrame:
+        """The star rows as a table, for jobs that read them more than once."""
+        return written(self.star, "star")
+
     @cached_property
     def flat(self) -> DataFrame:
         return warehouse.star_join(self.facts, self.dim_indicator, self.dim_location, self.dim_date)

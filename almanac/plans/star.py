@@ -300,7 +300,7 @@ def threshold_filter(t: Tables):
     ["star"],
 )
 def threshold_peer(t: Tables):
-    return A.above_mean(t.star).select("report_id", "indicator_sk", "location_code", "year", "value")
+    return A.above_mean(t.star_table).select("report_id", "indicator_sk", "location_code", "year", "value")
 
 
 # --- rankings --------------------------------------------------------------------------
@@ -311,12 +311,12 @@ _RANK = """SELECT indicator_name, source_system, location_name, report_id, year,
 
 @query("rank_by_year", _RANK.format(d="DESC"), ["star"])
 def rank_by_year(t: Tables):
-    return A.rank_by_year(t.star)
+    return A.rank_by_year(t.star_table)
 
 
 @query("rank_by_year_asc", _RANK.format(d="ASC"), ["star"])
 def rank_by_year_asc(t: Tables):
-    return A.rank_by_year(t.star, descending=False)
+    return A.rank_by_year(t.star_table, descending=False)
 
 
 @query(
@@ -326,7 +326,7 @@ def rank_by_year_asc(t: Tables):
     ["star"],
 )
 def rank_across_names(t: Tables):
-    return A.rank_across_names(t.star, "i")
+    return A.rank_across_names(t.star_table, "i")
 
 
 @query(
@@ -335,7 +335,7 @@ def rank_across_names(t: Tables):
     ["star"],
 )
 def location_rank(t: Tables):
-    return A.location_rank(t.star, "NATION_12", 1997)
+    return A.location_rank(t.star_table, "NATION_12", 1997)
 
 
 @query(
