@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from almanac.functions import wordlists as W
 from almanac.functions.text import format_value
 from almanac.operators import questions as Q
+from almanac.session import written
 
 # Result limits of the query shapes, and the refusals.
 SNAPSHOT_ROWS = 20
@@ -22,9 +23,10 @@ REFUSALS = {
 
 def plan_answers(questions: DataFrame, aliases: DataFrame, indicators: DataFrame, latest_year: int) -> DataFrame:
     """Every question with its tier, entities and the kind of lookup that answers it."""
-    routed = Q.q_indicator(Q.q_classify(questions), indicators)
-    texts = routed.select(F.explode(F.array("new_text", "question")).alias("text")).distinct()
-    hits = Q.alias_hits(texts, "text", "text", aliases)
+    parts = Q.with_parts(questions)
+    routed = Q.q_classify(Q.q_indicator(parts, indicators))
+    texts = parts.select(F.explode(F.array("new_text", "question")).alias("text")).distinct()
+    hits = written(Q.alias_hits(texts, "text", "text", aliases), "country-hits")
     country = Q.q_country_first(hits, "text").withColumnRenamed("text", "new_text")
     several = Q.q_countries(hits, "text")
     new_pair = several.select(F.col("text").alias("new_text"), F.col("countries").alias("_new"))
@@ -93,10 +95,11 @@ def q_answer_batch(planned: DataFrame, star: DataFrame, meta: DataFrame) -> Data
 
     Equal requests are answered once. Facts are first summed up per indicator,
     location and year, so what requests meet is bounded by the dimensions.
-    ``meta`` has ``tier, n`` for the questions about the warehouse itself.
+    ``meta`` has ``tier, n`` for the questions about the warehouse itself. The
+    planned questions are written out, as every kind of lookup reads them.
     """
-    planned = planned.withColumn("request", _request_key())
-    requests = planned.select("request", *_REQUEST).distinct()
+    planned = written(planned.withColumn("request", _request_key()), "planned-questions")
+    requests = written(planned.select("request", *_REQUEST).distinct(), "requests")
     cells = star.groupBy("indicator_name", "location_name", "year").agg(
         F.count("*").alias("n_facts"), F.max("value").alias("hi"), F.min("value").alias("lo")
     )

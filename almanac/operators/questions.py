@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac.functions import wordlists as W
 from almanac.functions.fuzzy import best_names
 from almanac.operators.blocks import block_pairs
+from almanac.session import written
 
 THRESHOLD = 72.0  # fixed value: least similarity of an indicator match
 
@@ -224,14 +225,13 @@ def q_indicator(questions: DataFrame, indicators: DataFrame, threshold: float =
     searched = q.withColumn("_first", F.when(refers_back, F.col("question")).otherwise(F.col("new_text"))).withColumn(
         "_second", F.when(F.col("has_context") & ~refers_back, F.col("question"))
     )
-    texts = (
-        searched.select(F.explode(F.array("_first", "_second")).alias("text")).where(F.col("text").isNotNull()).distinct()
-    )
+    texts = searched.select(F.explode(F.array("_first", "_second")).alias("text")).where(F.col("text").isNotNull())
+    texts = written(texts.distinct(), "question-texts")
     names = indicators.select(F.col("indicator_name").alias("name"), F.col("indicator_code").alias("place"))
     codes = indicators.select(F.col("indicator_code").alias("name"), F.col("indicator_code").alias("place"))
     by_name = fuzzy_indicator_join(texts, names, threshold).select("text", F.col("name").alias("indicator_name"))
     first_code = indicators.groupBy("indicator_name").agg(F.min("indicator_code").alias("indicator_code"))
-    by_name = by_name.join(first_code, "indicator_name")
+    by_name = written(by_name.join(first_code, "indicator_name"), "named-texts")
     shouted = texts.join(by_name, "text", "left_anti").select("text", F.upper("text").alias("_up"))
     by_code = fuzzy_indicator_join(shouted.select(F.col("_up").alias("text")), codes, threshold)
     by_code = (

@@ -27,4 +27,4 @@ def query(name: str, body: str | None = None, needs: tuple[str, ...] | list[str]
 
 
 def load_all() -> None:
-    from almanac.plans import conform, documents, ops, routing, star  # noqa: F401
+    from almanac.plans import arrivals, conform, documents, ops, routing, star  # noqa: F401

@@ -11,13 +11,10 @@ from almanac.plans.fixtures import Tables
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 YEARS = list(range(1995, 2002))
 
-FILE = (F.col("report_id") * 100 + F.col("year") - 1990).cast("int").alias("file_id")
-SLOT = F.substring("indicator_code", 1, 1).cast("int")
-
 
 def _rows(t: Tables) -> DataFrame:
     return t.star.select(
-        FILE,
+        (F.col("report_id") * 100 + F.col("year") - 1990).cast("int").alias("file_id"),
         "report_id",
         (F.ascii(F.substring("location_code", 2, 1)) * 5 - 325 + F.ascii(F.substring("location_code", 3, 1)) - 64)
         .cast("int")
@@ -29,7 +26,7 @@ def _rows(t: Tables) -> DataFrame:
         "indicator_name",
         "year",
         "value",
-        SLOT.alias("slot"),
+        F.substring("indicator_code", 1, 1).cast("int").alias("slot"),
     )
 
 
