@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from almanac.session import cpu_slots, written
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:
     """The row with the smallest ``order`` per key, as one aggregate."""
@@ -73,61 +75,56 @@ def assign_keys(
     )
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], slot: Column, position: str) -> DataFrame:
-    """Row numbers per key in ``order``, numbering each ``slot`` apart.
+def _in_ranges(df: DataFrame, keys: list[str], order: list[Column], weight: Column) -> DataFrame:
+    """Adds ``_slot``, a range of (keys, order), and ``_shift``, the weight of a key's ranges before it.
 
-    ``slot`` must not decrease along ``order`` (a day, for a time stamp).
-    Slots are counted first; each row then gets the rows of the slots before
-    it plus its place inside its own slot.
+    Spark samples the rows to cut ranges of equal size, whatever the values
+    look like, so a group of any size is spread over many ranges. The ranged
+    rows are written once: sums and rows then agree on the ranges even if
+    tasks are run again.
     """
-    slotted = df.withColumn("_slot", slot)
+    parts = cpu_slots(df.sparkSession)
+    ranged = written(
+        df.repartitionByRange(parts, *keys, *order).withColumn("_slot", F.spark_partition_id()), "ranges"
+    )
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        slotted.groupBy(*keys, "_slot")
-        .agg(F.count("*").alias("_n"))
-        .select(*keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    # at most one row per key and range
+    sums = ranged.groupBy(*keys, "_slot").agg(F.sum(weight).alias("_w"))
+    shifts = sums.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.col("_slot").alias("_s"),
+        F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_shift"),
     )
+    return ranged.join(shifts, _same(keys, F.col("_slot") == F.col("_s"))).select(*ranged.columns, "_shift")
+
+
+def _same(keys: list[str], match: Column) -> Column:
+    """``match`` and equal keys, nulls included, against the columns ``_k0, _k1, ...``."""
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return match
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list[str], position: str) -> DataFrame:
+    """Row numbers per key in ``order``, for groups of any size."""
+    ranged = _in_ranges(df, keys, [F.col(c) for c in order], F.lit(1))
     inside = Window.partitionBy(*keys, "_slot").orderBy(*order)
-    return (
-        slotted.join(shifts, [*keys, "_slot"])
-        .withColumn(position, F.col("_shift") + F.row_number().over(inside))
-        .drop("_slot", "_shift")
-    )
+    return ranged.withColumn(position, F.col("_shift") + F.row_number().over(inside)).drop("_slot", "_shift")
 
 
-def rank_values(
-    df: DataFrame, keys: list[str], value: str, position: str, descending: bool = True, slots: int = 512
-) -> DataFrame:
+def rank_values(df: DataFrame, keys: list[str], value: str, position: str, descending: bool = True) -> DataFrame:
     """SQL ``RANK()`` per key, nulls last, for groups of any size.
 
     The rank of a value is one plus the rows with a better value. Rows are
-    first counted per distinct value, the values are laid out in equal-width
-    slots between the group's extremes, and only slots are summed in order.
+    counted per distinct value first, so copies of one value are one row.
     """
-    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    span = counted.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    from_best = (F.col("_hi") - F.col(value)) if descending else (F.col(value) - F.col("_lo"))
-    slot = (
-        F.when(F.col(value).isNull(), F.lit(slots))
-        .when(width > 0, F.least(F.lit(slots - 1), F.floor(from_best / width * slots).cast("int")))
-        .otherwise(F.lit(0))
-    )
-    placed = counted.join(span, keys).select(*keys, value, "_n", slot.alias("_slot"))
-    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        placed.groupBy(*keys, "_slot")
-        .agg(F.sum("_n").alias("_m"))
-        .select(*keys, "_slot", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_shift"))
-    )
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranged = _in_ranges(counted, keys, [order], F.col("_n"))
     better = Window.partitionBy(*keys, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = placed.join(shifts, [*keys, "_slot"]).select(
+    ranks = ranged.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col(value).alias("_v"),
         (F.lit(1) + F.col("_shift") + F.coalesce(F.sum("_n").over(better), F.lit(0))).alias(position),
     )
-    match = F.col(value).eqNullSafe(F.col("_v"))
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(ranks, match).select(*df.columns, position)
+    return df.join(ranks, _same(keys, F.col(value).eqNullSafe(F.col("_v")))).select(*df.columns, position)

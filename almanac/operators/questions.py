@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac.functions import wordlists as W
 from almanac.functions.fuzzy import best_names
 from almanac.operators.blocks import block_pairs
-from almanac.session import written
+from almanac.session import cpu_slots, written
 
 THRESHOLD = 72.0  # fixed value: least similarity of an indicator match
 
@@ -176,7 +176,8 @@ def fuzzy_indicator_join(
     smaller place wins among equals. Distinct texts are scored once. A long name list meets
     the texts block by block.
     """
-    distinct = texts.select("text").distinct()
+    spark = texts.sparkSession
+    distinct = texts.select("text").distinct().repartition(cpu_slots(spark), "text")
     listed = names.select("name", "place").limit(small + 1).collect()
 
     def score(found: pd.Series, ordered: list[tuple[str, str]]) -> pd.DataFrame:
@@ -225,6 +226,8 @@ def q_indicator(questions: DataFrame, indicators: DataFrame, threshold: float =
     searched = q.withColumn("_first", F.when(refers_back, F.col("question")).otherwise(F.col("new_text"))).withColumn(
         "_second", F.when(F.col("has_context") & ~refers_back, F.col("question"))
     )
+    # questions without a second text match nothing; a key of their own keeps them apart
+    own_key = F.coalesce("_second", F.concat(F.lit("\0"), F.col("q_id").cast("string")))
     texts = searched.select(F.explode(F.array("_first", "_second")).alias("text")).where(F.col("text").isNotNull())
     texts = written(texts.distinct(), "question-texts")
     names = indicators.select(F.col("indicator_name").alias("name"), F.col("indicator_code").alias("place"))
@@ -244,11 +247,12 @@ def q_indicator(questions: DataFrame, indicators: DataFrame, threshold: float =
         F.col("text").alias("_first"), F.col("indicator_name").alias("_n1"), F.col("indicator_code").alias("_c1")
     )
     two = matched.select(
-        F.col("text").alias("_second"), F.col("indicator_name").alias("_n2"), F.col("indicator_code").alias("_c2")
+        F.col("text").alias("_key"), F.col("indicator_name").alias("_n2"), F.col("indicator_code").alias("_c2")
     )
     return (
         searched.join(one, "_first", "left")
-        .join(two, "_second", "left")
+        .withColumn("_key", own_key)
+        .join(two, "_key", "left")
         .withColumn("indicator_name", F.coalesce("_n1", "_n2"))
         .withColumn("indicator_code", F.coalesce("_c1", "_c2"))
         .select(*q.columns, "indicator_name", "indicator_code")

@@ -90,9 +90,11 @@ def batch_ingest_split(payload: DataFrame, registry: DataFrame) -> tuple[DataFra
     offered = checked.where(F.col("_problem").isNull() & F.col("_url").isNotNull())
     first = offered.groupBy("_url").agg(F.min("index").alias("_first"))
     known = registry.where(F.col("report_url").isNotNull()).select(F.col("report_url").alias("_url")).distinct()
+    # rows without an URL match nothing; a key of their own keeps them apart
+    keyed = checked.withColumn("_key", F.coalesce("_url", F.concat(F.lit("\0"), F.col("index").cast("string"))))
     judged = (
-        checked.join(first, "_url", "left")
-        .join(known.withColumn("_known", F.lit(True)), "_url", "left")
+        keyed.join(first.withColumnRenamed("_url", "_key"), "_key", "left")
+        .join(known.select(F.col("_url").alias("_key"), F.lit(True).alias("_known")), "_key", "left")
         .withColumn(
             "error",
             F.coalesce(

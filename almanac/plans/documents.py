@@ -8,6 +8,7 @@ from almanac.functions.vectors import cosine_distance
 from almanac.operators import documents as D, runlog as L, vectors as V
 from almanac.plans.catalog import query
 from almanac.plans.fixtures import Tables, idiv
+from almanac.session import spread
 
 CHUNKS_SQL = """SELECT source, page, CAST((s) // 450 AS INTEGER) AS idx, substring(text, s + 1, 500) AS text
   FROM (SELECT *, unnest(range(0, greatest(length(text) - 51, 0) + 1, 450)) AS s FROM doc_pages)"""
@@ -26,7 +27,7 @@ def chunk_fixed(t: Tables):
 @query("chunk_recursive")
 def chunk_recursive(t: Tables):
     """Whole documents as pages, so that every separator level is used."""
-    whole = t.raw("documents").select("source", F.col("doc_id").cast("int").alias("page"), "text")
+    whole = spread(t.raw("documents"), "doc_id").select("source", F.col("doc_id").cast("int").alias("page"), "text")
     return D.chunk_recursive(whole)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from almanac.operators import warehouse
 from almanac.schemas import FIRST_YEAR, LAST_YEAR
-from almanac.session import written
+from almanac.session import spread, written
 
 STATUSES = ["pending", "processing", "bronze", "silver", "done", "failed"]
 REPORT_STATUSES = ["pending", "processing", "bronze", "done", "failed"]
@@ -251,7 +251,7 @@ class Tables:
     @cached_property
     def doc_pages(self) -> DataFrame:
         """One page per non-empty line of a document; pages count from 0."""
-        blocks = self.raw("documents").select(
+        blocks = spread(self.raw("documents"), "doc_id").select(
             F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"),
             F.posexplode(F.split("text", "\n")).alias("page", "text"),
         )
@@ -263,7 +263,7 @@ class Tables:
         customer = self.raw("customer").select("c_custkey", "c_nationkey")
         places = self.dim_location.select("location_sk", F.col("name"))
         rows = (
-            self.raw("orders")
+            spread(self.raw("orders"), "o_orderkey")
             .join(customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(places, F.col("location_sk") == F.col("c_nationkey") + 1)
         )

@@ -12,8 +12,9 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 YEARS = list(range(1995, 2002))
 
 
-def _rows(t: Tables) -> DataFrame:
-    return t.star.select(
+def _rows(t: Tables, stored: bool = False) -> DataFrame:
+    """Facts as cells; grids read them several times, so they take the stored table."""
+    return (t.star_table if stored else t.star).select(
         (F.col("report_id") * 100 + F.col("year") - 1990).cast("int").alias("file_id"),
         "report_id",
         (F.ascii(F.substring("location_code", 2, 1)) * 5 - 325 + F.ascii(F.substring("location_code", 3, 1)) - 64)
@@ -112,7 +113,7 @@ def _texts(pairs: dict[int, str]) -> list[tuple[Column, Column]]:
 
 
 def two_header_rows(t: Tables) -> DataFrame:
-    rows = _rows(t)
+    rows = _rows(t, stored=True)
     files = rows.select("file_id").distinct()
     places = rows.select("file_id", "place", "location_code", "location_name", "region").distinct()
     codes = {0: "Economy", 1: "ISO3Code", 2: "region", 8: "population"} | {
@@ -139,7 +140,7 @@ def two_header_rows(t: Tables) -> DataFrame:
 
 
 def country_names(t: Tables) -> DataFrame:
-    rows = _rows(t)
+    rows = _rows(t, stored=True)
     files = rows.select("file_id").distinct()
     places = rows.select("file_id", "place", "location_name", "region").distinct()
     shown = (
@@ -160,7 +161,7 @@ def country_names(t: Tables) -> DataFrame:
 
 
 def offset_header(t: Tables) -> DataFrame:
-    rows = _rows(t)
+    rows = _rows(t, stored=True)
     files = rows.select("file_id").distinct()
     places = rows.select("file_id", "place", "location_code", "location_name", "year").distinct()
     header = {0: "Year", 1: "ISO Code 2", 2: "ISO Code 3", 3: "Countries", 4: "Rank", 10: "1-URGENT Rank"} | {
@@ -186,7 +187,7 @@ def offset_header(t: Tables) -> DataFrame:
 
 
 def transposed(t: Tables) -> DataFrame:
-    rows = _rows(t)
+    rows = _rows(t, stored=True)
     head = 2 + F.col("file_id") % 3
     files = rows.select("file_id").distinct()
     countries = rows.select("file_id", "place", "location_code").distinct()

@@ -8,6 +8,7 @@ from almanac.functions import casts, text as X
 from almanac.operators import registry as G, runlog as L, warehouse as W
 from almanac.plans.catalog import query
 from almanac.plans.fixtures import Tables, idiv, pick
+from almanac.session import spread
 
 LEGACY = ["PENDING", "VALIDATED", "PROCESSING", "BRONZE_OK", "SILVER_OK", "DONE", "FAILED", "done"]
 LEGACY_SQL = "(['" + "','".join(LEGACY) + "'])[file_id % 8 + 1]"
@@ -602,20 +603,20 @@ def cell_join(t: Tables):
 def _raw_objects(t: Tables):
     """Event payloads, web pages and documents as landed bytes with their URL."""
     ending = pick(["", "", "", ".csv?x=1", ".XLSX", ".zip"], F.col("event_id") % 6)
-    events = t.raw("events").select(
+    events = spread(t.raw("events"), "event_id").select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("key"),
         F.concat(F.lit("http://x.org/e"), ending).alias("url"),
         F.encode("props", "UTF-8").alias("content"),
     )
-    pages = t.raw("pages").select(
+    pages = spread(t.raw("pages"), "page_id").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"), "url", F.encode("html", "UTF-8").alias("content")
     )
-    documents = t.raw("documents").select(
+    documents = spread(t.raw("documents"), "doc_id").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"),
         F.lit("").alias("url"),
         F.encode("text", "UTF-8").alias("content"),
     )
-    orders = t.raw("orders").select(
+    orders = spread(t.raw("orders"), "o_orderkey").select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"),
         F.lit("http://x.org/data").alias("url"),
         F.when(F.col("o_orderkey") % 5 == 0, F.unhex(F.lit("504B030414")))

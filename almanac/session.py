@@ -61,3 +61,18 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cpu_slots(spark: SparkSession) -> int:
+    """How many tasks to cut processor-bound work into, at least."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Spread a file scan that comes in fewer pieces than there are cores.
+
+    For processor-bound steps over small inputs. Large inputs come in many
+    pieces and stay as they are, so they are not shuffled for it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
