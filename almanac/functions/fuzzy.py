@@ -50,9 +50,9 @@ def _codes(texts: list[str], width: int) -> np.ndarray:
 def name_scores(name: str, texts: list[str], threshold: float) -> np.ndarray:
     """Scores of one name against many texts; below ``threshold`` 0 may be returned.
 
-    A text that shares too few characters with the name is passed over: a
-    score of t needs a common subsequence of at least m * t / (200 - t)
-    characters. Names longer than a machine word take the plain definition.
+    A text that shares too few characters with the name is passed over: with
+    m the shorter length, a score of t needs a common subsequence of at least
+    m * t / (200 - t) characters. Names longer than a machine word take the plain definition.
     """
     m = len(name)
     scores = np.zeros(len(texts))
@@ -61,12 +61,12 @@ def name_scores(name: str, texts: list[str], threshold: float) -> np.ndarray:
     for i, t in enumerate(texts):
         if name in t:
             scores[i] = 100.0
-    need = m * threshold / (200.0 - threshold)
+    share = threshold / (200.0 - threshold)
     wanted = {ch: name.count(ch) for ch in set(name)}
     open_rows = [
         i
         for i, t in enumerate(texts)
-        if scores[i] == 0.0 and sum(min(n, t.count(ch)) for ch, n in wanted.items()) >= need
+        if scores[i] == 0.0 and sum(min(n, t.count(ch)) for ch, n in wanted.items()) >= share * min(m, len(t))
     ]
     plain = [i for i in open_rows if m > 63 or len(texts[i]) <= m]
     for i in plain:
