@@ -80,11 +80,9 @@ def _steady(lines: Column, delimiter: str) -> Column:
 
 def looks_delimited(snippet: Column) -> Column:
     lines = F.filter(F.split(snippet, "\n"), lambda x: x != "")
-    found = F.lit(False)
-    for pattern in quoted_field_patterns():
-        found = found | snippet.rlike(pattern)
+    found = snippet.rlike("|".join(quoted_field_patterns()))
     for d in DELIMITERS:
-        found = found | _steady(lines, d)
+        found = found | (snippet.contains(d) & _steady(lines, d))
     return snippet.contains("\n") & found
 
 
