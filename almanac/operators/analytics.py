@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from almanac.functions.text import contains_ci, csv_list, normalise_name
-from almanac.operators.ordering import first_per_key, rank_values, top_n_per_key
+from almanac.operators.ordering import first_per_key, rank_top, rank_values, top_n_per_key
 
 SERIES = ["report_id", "indicator_sk", "location_code"]
 
@@ -106,13 +106,8 @@ def location_rank(star: DataFrame, location: str, year: int, descending: bool =
 
 def top_n_ranked(star: DataFrame, n: int, descending: bool = True) -> DataFrame:
     """Rows ranked n or better per indicator and year, ties included."""
-    order = F.col("value").desc_nulls_last() if descending else F.col("value").asc_nulls_last()
-    window = Window.partitionBy("indicator_sk", "year").orderBy(order)
-    return (
-        star.withColumn("ranking", F.rank().over(window))
-        .where(F.col("ranking") <= n)
-        .select("indicator_sk", "location_name", "report_id", "year", "ranking", "value")
-    )
+    ranked = rank_top(star, ["indicator_sk", "year"], "value", n, "ranking", descending)
+    return ranked.select("indicator_sk", "location_name", "report_id", "year", "ranking", "value")
 
 
 def top_n_overall(star: DataFrame, indicator: str, year: int, n: int = 20, descending: bool = True) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import wordlists as W
 from almanac.functions.text import format_value
 from almanac.operators import questions as Q
+from almanac.operators.ordering import rank_top
 from almanac.session import written
 
 # Result limits of the query shapes, and the refusals.
@@ -187,9 +188,7 @@ def _ranking_answers(requests: DataFrame, star: DataFrame, like: DataFrame, near
     )
 
     def leaders(ascending: bool) -> DataFrame:
-        order = F.col("value").asc() if ascending else F.col("value").desc()
-        window = Window.partitionBy("indicator_name", "year").orderBy(order)
-        top = rows.withColumn("ranking", F.rank().over(window)).where(F.col("ranking") <= deepest)
+        top = rank_top(rows, ["indicator_name", "year"], "value", deepest, "ranking", descending=not ascending)
         return top.withColumn("ascending", F.lit(ascending))
 
     led = leaders(False).unionByName(leaders(True))
@@ -224,8 +223,59 @@ def _variant(seed: Column, templates: list[str], **parts: Column) -> Column:
     return chain
 
 
-def answer_text(answers: DataFrame) -> DataFrame:
-    """``q_id, text``: one sentence per answered question."""
+LISTED_COUNTRIES, LISTED_INDICATORS = 30, 20  # fixed values
+
+
+def list_sentences(locations: DataFrame, indicators: DataFrame) -> DataFrame:
+    """``tier, listing``: the first countries and indicators by name, and how many there are."""
+    names = locations.select(F.col("name").alias("entry"))
+    codes = (
+        indicators.select("indicator_code", "indicator_name")
+        .distinct()
+        .select(F.concat_ws(" – ", "indicator_code", "indicator_name").alias("entry"))
+    )
+
+    def first(entries: DataFrame, n: int) -> DataFrame:
+        shown = entries.orderBy("entry").limit(n)
+        total = entries.agg(F.count("*").alias("n"))
+        both = shown.unionByName(total, allowMissingColumns=True)
+        return both.agg(F.array_sort(F.collect_list("entry")).alias("shown"), F.max("n").alias("n"))
+
+    many = F.col("n").cast("string")
+    countries = F.concat(
+        F.lit("Os "),
+        many,
+        F.lit(" países disponíveis são: "),
+        F.array_join("shown", ", "),
+        F.when(F.col("n") > LISTED_COUNTRIES, F.format_string(", e mais %d", F.col("n") - LISTED_COUNTRIES)).otherwise(""),
+        F.lit("."),
+    )
+    bullets = F.array_join(F.transform("shown", lambda x: F.concat(F.lit("• "), x)), "\n")
+    few = F.concat(F.lit("Os indicadores disponíveis são:\n"), bullets)
+    more = F.concat(
+        F.lit("Existem "),
+        many,
+        F.lit(" indicadores. Os primeiros são:\n"),
+        bullets,
+        F.format_string("\n... e mais %d.", F.col("n") - LISTED_INDICATORS),
+    )
+    listed = F.when(F.col("n") <= LISTED_INDICATORS, few).otherwise(more)
+    return (
+        first(names, LISTED_COUNTRIES)
+        .select(F.lit("meta:list_countries").alias("tier"), countries.alias("listing"))
+        .unionByName(
+            first(codes, LISTED_INDICATORS).select(F.lit("meta:list_indicators").alias("tier"), listed.alias("listing"))
+        )
+    )
+
+
+def answer_text(answers: DataFrame, listings: DataFrame) -> DataFrame:
+    """``q_id, text``: one sentence per answered question.
+
+    ``listings`` are the texts of :func:`list_sentences`.
+    """
+    answers = answers.join(listings, "tier", "left")
+    whole = F.col("answer").cast("long").cast("string")
     text = F.coalesce("indicator_name", F.lit("indicador"))
     year = F.col("year").cast("string")
     value, other = format_value(F.col("answer")), format_value(F.col("other"))
@@ -241,11 +291,10 @@ def answer_text(answers: DataFrame) -> DataFrame:
     )
     meta = (
         F.when(F.col("tier") == "meta:count_records", _fill("A base de dados contém {v} registos de valores.", v=value))
-        .when(F.col("tier") == "meta:count_countries", _fill("Existem {v} países na base de dados.", v=value))
-        .when(F.col("tier") == "meta:count_indicators", _fill("Existem {v} indicadores disponíveis.", v=value))
-        .when(F.col("tier") == "meta:count_reports", _fill("Existem {v} relatórios com dados processados.", v=value))
-        .when(F.col("tier") == "meta:list_countries", _fill("Existem {v} países na base de dados.", v=value))
-        .otherwise(_fill("Existem {v} indicadores.", v=value))
+        .when(F.col("tier") == "meta:count_countries", _fill("Existem {v} países na base de dados.", v=whole))
+        .when(F.col("tier") == "meta:count_indicators", _fill("Existem {v} indicadores disponíveis.", v=whole))
+        .when(F.col("tier") == "meta:count_reports", _fill("Existem {v} relatórios com dados processados.", v=whole))
+        .otherwise(F.col("listing"))
     )
     above = F.when(F.col("answer") > F.col("other"), "acima").otherwise("abaixo")
     compared = _fill(
@@ -263,7 +312,7 @@ def answer_text(answers: DataFrame) -> DataFrame:
         .when(F.col("kind") == "meta", meta)
         .when(
             F.col("kind") == "existence",
-            _variant(q, W.EXISTENCE_SENTENCES, count=value, indicator=text, country=country, year=year),
+            _variant(q, W.EXISTENCE_SENTENCES, count=whole, indicator=text, country=country, year=year),
         )
         .when(
             (F.col("n_rows") == 0) | ((F.col("kind") == "comparison") & (F.col("answer").isNull() | F.col("other").isNull())),

@@ -37,12 +37,33 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[str], keep: list[st
     )
 
 
+# Spark drops rows beyond the n-th before the shuffle only up to this n
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1_000
+
+
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, position: str) -> DataFrame:
-    """At most ``n`` rows per key; Spark limits each partition before the shuffle."""
+    """At most ``n`` rows per key; each partition is limited before the shuffle."""
+    if n > GROUP_LIMIT:
+        return number_rows(df, keys, order, position).where(F.col(position) <= n)
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(position, F.row_number().over(window)).where(F.col(position) <= n)
 
 
+def rank_top(df: DataFrame, keys: list[str], value: str, n: int, position: str, descending: bool = True) -> DataFrame:
+    """Rows with ``RANK() <= n`` per key, ties included.
+
+    The n best rows per key already tell the rank of every value among them;
+    rows tied with one of them are found by joining on the value. However many
+    ties there are, no task has to hold them.
+    """
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    best = top_n_per_key(df.select(*keys, value), keys, [order], n, "_n")
+    ranks = best.groupBy(*keys, value).agg(F.min("_n").cast("int").alias(position))
+    ranks = ranks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v"), position)
+    return df.join(ranks, _same(keys, F.col(value).eqNullSafe(F.col("_v")))).select(*df.columns, position)
+
+
 ONE_TASK_ROWS = 100_000
 
 
@@ -105,9 +126,9 @@ def _same(keys: list[str], match: Column) -> Column:
     return match
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], position: str) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[Column], position: str) -> DataFrame:
     """Row numbers per key in ``order``, for groups of any size."""
-    ranged = _in_ranges(df, keys, [F.col(c) for c in order], F.lit(1))
+    ranged = _in_ranges(df, keys, order, F.lit(1))
     inside = Window.partitionBy(*keys, "_slot").orderBy(*order)
     return ranged.withColumn(position, F.col("_shift") + F.row_number().over(inside)).drop("_slot", "_shift")
 

@@ -40,7 +40,7 @@ def errors_concat(logs: DataFrame, key: str = "file_id", part_size: int = 1000)
     A file normally fills one part. One with more than ``part_size`` messages
     gets numbered parts, so no task has to hold all messages of a hot file.
     """
-    numbered = number_rows(logs, [key], ["log_time", "id"], "n")
+    numbered = number_rows(logs, [key], [F.col("log_time"), F.col("id")], "n")
     part = F.floor((F.col("n") - 1) / part_size).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct("n", "error_message")))
     return (

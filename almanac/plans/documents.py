@@ -136,14 +136,14 @@ def bbox_exclude(t: Tables):
 
 @query(
     "replace_by_source",
-    f"""SELECT source, page, idx, CASE WHEN CAST(split_part(source, '/', 2) AS BIGINT) % 3 = 0 THEN 'again: ' || text ELSE text END AS text
-        FROM ({CHUNKS_SQL}) WHERE NOT (CAST(split_part(source, '/', 2) AS BIGINT) % 3 = 0 AND page = 0)""",
+    f"""SELECT source, page, idx, CASE WHEN starts_with(source, 'src1') THEN 'again: ' || text ELSE text END AS text
+        FROM ({CHUNKS_SQL}) WHERE NOT (starts_with(source, 'src1') AND page = 0)""",
     ["doc_pages"],
 )
 def replace_by_source(t: Tables):
-    """Every third document is indexed again without its first page."""
+    """Documents of some sources are indexed again without their first page."""
     store = D.chunk_fixed(t.doc_pages)
-    again = F.split_part("source", F.lit("/"), F.lit(2)).cast("long") % 3 == 0
+    again = F.col("source").startswith("src1")
     offered = t.doc_pages.where(again & (F.col("page") > 0))
     emptied = t.doc_pages.where(again).select("source").distinct()
     new = D.chunk_fixed(offered).withColumn("text", F.concat(F.lit("again: "), F.col("text")))
@@ -175,12 +175,13 @@ def chunk_counts(t: Tables):
     "index_coverage",
     f"""SELECT r.report_id, r.file_name, n IS NOT NULL AS indexed, coalesce(n, 0) AS n_chunks FROM op_report r
         LEFT JOIN (SELECT 'report_' || split_part(source, '/', 2) || '.pdf' AS file_name, count(*) AS n
-          FROM ({CHUNKS_SQL}) WHERE CAST(split_part(source, '/', 2) AS BIGINT) % 4 <> 1 GROUP BY ALL) USING (file_name)""",
+          FROM ({CHUNKS_SQL}) WHERE page > 0 GROUP BY ALL) USING (file_name)""",
     ["doc_pages", "op_report"],
 )
 def index_coverage(t: Tables):
+    """Covers stay out of the index, so a document of one page is not indexed."""
     doc = F.split_part("source", F.lit("/"), F.lit(2))
-    named = t.doc_pages.where(doc.cast("long") % 4 != 1).withColumn(
+    named = t.doc_pages.where(F.col("page") > 0).withColumn(
         "source", F.concat(F.lit("report_"), doc, F.lit(".pdf"))
     )
     return L.index_coverage(t.op_report, D.chunk_counts(D.chunk_fixed(named)))

@@ -97,11 +97,11 @@ def join_file_report(t: Tables):
     "left_join_report",
     """SELECT d.file_id, d.report_id, d.file_url, r.source_code, r.file_name AS report_name,
          d.pipeline_status IN ('pending', 'failed') AS can_delete
-       FROM op_data d LEFT JOIN (SELECT * FROM op_report WHERE report_id % 6 <> 0) r ON r.report_id = d.report_id""",
+       FROM op_data d LEFT JOIN (SELECT * FROM op_report WHERE report_url IS NOT NULL) r ON r.report_id = d.report_id""",
     ["op_report", "op_data"],
 )
 def left_join_report(t: Tables):
-    return G.left_join_report(t.op_data, t.op_report.where(F.col("report_id") % 6 != 0))
+    return G.left_join_report(t.op_data, t.op_report.where(F.col("report_url").isNotNull()))
 
 
 @query("distinct_sources", "SELECT DISTINCT source_code FROM op_report", ["op_report"])
@@ -231,13 +231,13 @@ def check_duplicate(t: Tables):
 
 @query(
     "list_objects_join",
-    """SELECT report_id, file_name, report_id % 7 <> 0 AS present FROM op_report""",
+    """SELECT report_id, file_name, pipeline_status IN ('bronze', 'done') AS present FROM op_report""",
     ["op_report"],
 )
 def list_objects_join(t: Tables):
     from almanac.sources.landing import list_objects_join as join
 
-    listing = t.op_report.where(F.col("report_id") % 7 != 0).select(F.col("file_name").alias("key"))
+    listing = t.op_report.where(F.col("pipeline_status").isin("bronze", "done")).select(F.col("file_name").alias("key"))
     present, missing = join(t.op_report, listing)
     return present.select("report_id", "file_name", F.lit(True).alias("present")).unionByName(
         missing.select("report_id", "file_name", F.lit(False).alias("present"))
@@ -266,13 +266,13 @@ def anti_existing(t: Tables):
        FROM (SELECT * FROM op_report WHERE report_id % 3 <> 0) o FULL JOIN (
          SELECT report_id, lower(source_code) AS source_code,
            CASE WHEN report_id % 4 <> 0 THEN 'new_' || file_name END AS file_name
-         FROM op_report WHERE report_id % 2 = 0) n ON n.report_id = o.report_id""",
+         FROM op_report WHERE report_id % 2 = 0 OR report_id % 3 = 0) n ON n.report_id = o.report_id""",
     ["op_report"],
 )
 def upsert_update(t: Tables):
     columns = ["report_id", "source_code", "file_name"]
     old = t.op_report.where(F.col("report_id") % 3 != 0).select(*columns)
-    new = t.op_report.where(F.col("report_id") % 2 == 0).select(
+    new = t.op_report.where((F.col("report_id") % 2 == 0) | (F.col("report_id") % 3 == 0)).select(
         "report_id",
         F.lower("source_code").alias("source_code"),
         F.when(F.col("report_id") % 4 != 0, F.concat(F.lit("new_"), F.col("file_name"))).alias("file_name"),
@@ -282,13 +282,13 @@ def upsert_update(t: Tables):
 
 @query(
     "patch_coalesce",
-    """SELECT file_id, CASE WHEN file_id % 3 = 0 AND file_id % 2 = 0 THEN report_id + 1 ELSE report_id END AS report_id,
-         CASE WHEN file_id % 3 <> 0 THEN file_url WHEN file_id % 5 <> 0 THEN 'patched' END AS file_url,
-         CASE WHEN file_id % 3 = 0 THEN 'pending' ELSE pipeline_status END AS pipeline_status FROM op_data""",
+    """SELECT file_id, CASE WHEN pipeline_status = 'failed' AND file_id % 2 = 0 THEN report_id + 1 ELSE report_id END AS report_id,
+         CASE WHEN pipeline_status <> 'failed' THEN file_url WHEN file_id % 5 <> 0 THEN 'patched' END AS file_url,
+         CASE WHEN pipeline_status = 'failed' THEN 'pending' ELSE pipeline_status END AS pipeline_status FROM op_data""",
     ["op_data"],
 )
 def patch_coalesce(t: Tables):
-    patches = t.op_data.where(F.col("file_id") % 3 == 0).select(
+    patches = t.op_data.where(F.col("pipeline_status") == "failed").select(
         "file_id",
         F.when(F.col("file_id") % 2 == 0, F.col("report_id") + 1).alias("report_id"),
         F.when(F.col("file_id") % 5 != 0, "patched").alias("file_url"),
@@ -300,11 +300,13 @@ def patch_coalesce(t: Tables):
     "deletable_rows",
     """SELECT d.file_id, d.pipeline_status, coalesce(n, 0) AS n_facts,
          d.pipeline_status IN ('pending', 'failed') OR coalesce(n, 0) = 0 AS deletable
-       FROM op_data d LEFT JOIN (SELECT report_id, count(*) AS n FROM facts WHERE report_id % 2 = 0 GROUP BY ALL) USING (report_id)""",
-    ["op_data", "facts"],
+       FROM op_data d LEFT JOIN (SELECT report_id, count(*) AS n FROM facts WHERE report_id IN (
+         SELECT report_id FROM op_report WHERE pipeline_status = 'done') GROUP BY ALL) USING (report_id)""",
+    ["op_data", "facts", "op_report"],
 )
 def deletable_rows(t: Tables):
-    return G.deletable_files(t.op_data, t.facts.where(F.col("report_id") % 2 == 0))
+    done = t.op_report.where(F.col("pipeline_status") == "done").select("report_id")
+    return G.deletable_files(t.op_data, t.facts.join(done, "report_id", "left_semi"))
 
 
 @query(
@@ -515,13 +517,13 @@ def strip_fence(t: Tables):
 
 @query(
     "format_value",
-    """SELECT o_orderkey, replace(format('{:,.2f}', o_totalprice), ',', ' ') AS exact_text,
-         replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', ' ') AS whole_text
-       FROM orders WHERE o_totalprice <> floor(o_totalprice)""",
+    """SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice)
+           THEN replace(format('{:,}', CAST(o_totalprice AS BIGINT)), ',', ' ')
+           ELSE replace(format('{:,.2f}', o_totalprice), ',', ' ') END AS exact_text,
+         replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', ' ') AS whole_text FROM orders""",
 )
 def format_value(t: Tables):
-    rows = t.raw("orders").where(F.col("o_totalprice") != F.floor("o_totalprice"))
-    return rows.select(
+    return t.raw("orders").select(
         "o_orderkey",
         X.format_value(F.col("o_totalprice")).alias("exact_text"),
         X.format_value(F.floor("o_totalprice").cast("double")).alias("whole_text"),

@@ -317,10 +317,12 @@ _FILL = {
           WHEN 'no_country' THEN 'Não foi possível identificar o país.'
           ELSE CASE WHEN kind = 'meta' THEN CASE tier
               WHEN 'meta:count_records' THEN 'A base de dados contém ' || {_SHOW.format('answer')} || ' registos de valores.'
-              WHEN 'meta:count_indicators' THEN 'Existem ' || {_SHOW.format('answer')} || ' indicadores disponíveis.'
-              WHEN 'meta:list_countries' THEN 'Existem ' || {_SHOW.format('answer')} || ' países na base de dados.'
-              ELSE 'Existem ' || {_SHOW.format('answer')} || ' indicadores.' END
-            WHEN kind = 'existence' THEN {_variant_sql(W.EXISTENCE_SENTENCES, {**_FILL, 'count': _FILL['value']})}
+              WHEN 'meta:count_indicators' THEN 'Existem ' || CAST(answer AS BIGINT) || ' indicadores disponíveis.'
+              WHEN 'meta:list_countries' THEN (SELECT 'Os ' || count(*) || ' países disponíveis são: '
+                || string_agg(name, ', ' ORDER BY name) || '.' FROM dim_location)
+              ELSE (SELECT 'Os indicadores disponíveis são:' || chr(10) || string_agg('• ' || x, chr(10) ORDER BY x)
+                FROM (SELECT DISTINCT indicator_code || ' – ' || indicator_name AS x FROM dim_indicator)) END
+            WHEN kind = 'existence' THEN {_variant_sql(W.EXISTENCE_SENTENCES, {**_FILL, 'count': 'CAST(CAST(answer AS BIGINT) AS VARCHAR)'})}
             WHEN n_rows = 0 OR (kind = 'comparison' AND (answer IS NULL OR other IS NULL)) THEN
               {_variant_sql(W.NOTHING_SENTENCES, {})} || ' (Pesquisa: ' || concat_ws(', ', 'indicador "' || indicator_name || '"',
                 'país "' || country || '"', 'ano ' || year) || '.)'
@@ -332,7 +334,7 @@ _FILL = {
     _ANSWERS,
 )
 def answer_text(t: Tables):
-    return N.answer_text(_answers(t))
+    return N.answer_text(_answers(t), N.list_sentences(t.dim_location, t.dim_indicator))
 
 
 @query(
@@ -347,7 +349,7 @@ def answer_text(t: Tables):
     ["star"],
 )
 def answer_lines(t: Tables):
-    best = analytics.top_n_ranked(t.star, 40)
+    best = analytics.top_n_ranked(t.star_table, 40)
     names = t.dim_indicator.select("indicator_sk", "indicator_name")
     window = Window.partitionBy("indicator_sk", "year").orderBy(F.desc("value"), "location_name", "report_id")
     rows = best.withColumn("position", F.row_number().over(window)).join(names, "indicator_sk")

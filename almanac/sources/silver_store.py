@@ -10,13 +10,12 @@ from almanac.operators.quality import require_columns
 def write_silver(df: DataFrame, path: str) -> None:
     """Replace the partitions of the files in ``df``, and no others.
 
-    Rows are spread by file and a row hash, so a large file is written by
-    several tasks and a small one does not end up in many parts.
+    The rows are rebalanced by file: AQE joins the parts of small files and
+    splits those of a large one.
     """
     require_columns(df)
-    spread = F.pmod(F.xxhash64("location_code", "indicator_code", "year"), F.lit(4))
     written = (
-        df.repartition("file_id", spread)
+        df.hint("rebalance", "file_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("file_id")

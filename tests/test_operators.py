@@ -39,12 +39,21 @@ def test_rank_of_a_hot_group_with_ties_and_nulls(spark):
 
 def test_row_numbers_of_a_hot_group(spark):
     df = spark.range(2000).select(F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("k"), (-F.col("id")).alias("o"))
-    got = rows(O.number_rows(df, ["k"], ["o"], "n"), "k", "o", "n")
+    got = rows(O.number_rows(df, ["k"], [F.col("o")], "n"), "k", "o", "n")
     for k in "ab":
         mine = sorted((r for r in got if r[0] == k), key=lambda r: r[1])
         assert [r[2] for r in mine] == list(range(1, len(mine) + 1))
 
 
+def test_top_ranks_keep_all_ties(spark):
+    data = [("a", v) for v in [5.0] * 40 + [4.0] * 3 + [3.0]] + [("b", 1.0), ("b", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    for n in (2, 41, 2000):
+        want = O.rank_values(df, ["k"], "v", "r").where(f"r <= {n}")
+        got = O.rank_top(df, ["k"], "v", n, "r")
+        assert rows(got.fillna(-1.0), "k", "v", "r") == rows(want.fillna(-1.0), "k", "v", "r")
+
+
 def test_keys_are_dense_and_the_same_on_both_paths(spark):
     df = spark.range(500).select(F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("a"), F.col("id").cast("string").alias("b"))
     small = rows(O.assign_keys(df, ["a", "b"], "k", 10, n_rows=500), "a", "b", "k")
