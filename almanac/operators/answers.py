@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac.functions import wordlists as W
 from almanac.functions.text import format_value
 from almanac.operators import questions as Q
-from almanac.operators.ordering import rank_top
+from almanac.operators.ordering import first_per_key, rank_top, top_n_per_key
 from almanac.session import written
 
 # Result limits of the query shapes, and the refusals.
@@ -23,7 +23,10 @@ REFUSALS = {
 
 
 def plan_answers(questions: DataFrame, aliases: DataFrame, indicators: DataFrame, latest_year: int) -> DataFrame:
-    """Every question with its tier, entities and the kind of lookup that answers it."""
+    """Every question with its tier, entities and the kind of lookup that answers it.
+
+    The result is written out, as every kind of lookup reads it.
+    """
     parts = Q.with_parts(questions)
     routed = Q.q_classify(Q.q_indicator(parts, indicators))
     texts = parts.select(F.explode(F.array("new_text", "question")).alias("text")).distinct()
@@ -55,7 +58,7 @@ def plan_answers(questions: DataFrame, aliases: DataFrame, indicators: DataFrame
         .when(F.col("country").isNull(), "snapshot")
         .otherwise("value")
     )
-    return (
+    planned = (
         joined.withColumn("pair", pair)
         .withColumn("top_n", Q.q_topn(F.col("question")))
         .withColumn("ascending", Q.q_ascending(F.col("question")))
@@ -75,6 +78,7 @@ def plan_answers(questions: DataFrame, aliases: DataFrame, indicators: DataFrame
             "ascending",
         )
     )
+    return written(planned.withColumn("request", _request_key()), "planned-questions")
 
 
 _REQUEST = ["kind", "indicator_name", "country", "first_country", "second_country", "year", "n", "ascending"]
@@ -91,26 +95,28 @@ def _containing(names: DataFrame, needles: DataFrame, name: str, needle: str) ->
     return hits.select(F.col("entry").alias(name), F.col("name").alias(needle))
 
 
+def _lookups(planned: DataFrame, star: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct requests, and the indicator and location names that contain what they ask for."""
+    requests = written(planned.select("request", *_REQUEST).distinct(), "requests")
+    names = star.select(F.col("indicator_name").alias("entry")).distinct()
+    wanted = requests.select(F.col("indicator_name").alias("needle")).where("needle IS NOT NULL").distinct()
+    like = _containing(names, wanted, "fact_name", "indicator_name")
+    places = star.select(F.col("location_name").alias("entry")).distinct()
+    countries = requests.select(F.col("country").alias("needle")).where("needle IS NOT NULL").distinct()
+    return requests, like, _containing(places, countries, "fact_place", "country")
+
+
 def q_answer_batch(planned: DataFrame, star: DataFrame, meta: DataFrame) -> DataFrame:
     """Rows, best value and second value per question.
 
     Equal requests are answered once. Facts are first summed up per indicator,
     location and year, so what requests meet is bounded by the dimensions.
-    ``meta`` has ``tier, n`` for the questions about the warehouse itself. The
-    planned questions are written out, as every kind of lookup reads them.
+    ``meta`` has ``tier, n`` for the questions about the warehouse itself.
     """
-    planned = written(planned.withColumn("request", _request_key()), "planned-questions")
-    requests = written(planned.select("request", *_REQUEST).distinct(), "requests")
+    requests, like, near = _lookups(planned, star)
     cells = star.groupBy("indicator_name", "location_name", "year").agg(
         F.count("*").alias("n_facts"), F.max("value").alias("hi"), F.min("value").alias("lo")
     )
-    names = star.select(F.col("indicator_name").alias("entry")).distinct()
-    wanted = requests.select(F.col("indicator_name").alias("needle")).where("needle IS NOT NULL").distinct()
-    like = _containing(names, wanted, "fact_name", "indicator_name")
-    places = star.select(F.col("location_name").alias("entry")).distinct()
-    countries = requests.select(F.col("country").alias("needle")).where("needle IS NOT NULL").distinct()
-    near = _containing(places, countries, "fact_place", "country")
-
     cell = cells.select(
         F.col("indicator_name").alias("fact_name"),
         F.col("location_name").alias("fact_place"),
@@ -172,19 +178,19 @@ def q_answer_batch(planned: DataFrame, star: DataFrame, meta: DataFrame) -> Data
     n_rows = F.when(F.col("kind") == "meta", F.lit(1)).when(~refused, F.coalesce("n_rows", F.lit(0)))
     zero_count = F.when(F.col("kind") == "existence", F.lit(0.0))
     return joined.select(
-        *[c for c in planned.columns if c != "request"],
+        *planned.columns,
         F.when((F.col("kind") == "existence"), F.lit(1)).otherwise(n_rows).cast("long").alias("n_rows"),
         F.coalesce("_meta", "answer", zero_count).alias("answer"),
         "other",
     )
 
 
-def _ranking_answers(requests: DataFrame, star: DataFrame, like: DataFrame, near: DataFrame) -> DataFrame:
+def _ranked_rows(requests: DataFrame, star: DataFrame, like: DataFrame, near: DataFrame) -> DataFrame:
     """Rows ranked n or better among all indicators whose name contains the text, per year."""
     ranking = requests.where(F.col("kind") == "ranking")
     deepest = ranking.agg(F.max("n").alias("n")).first()["n"] or 1
     rows = star.join(like, star["indicator_name"] == like["fact_name"]).select(
-        like["indicator_name"], F.col("year"), F.col("location_name").alias("fact_place"), "value"
+        like["indicator_name"], F.col("year"), F.col("location_name").alias("fact_place"), "value", "report_id", "indicator_sk"
     )
 
     def leaders(ascending: bool) -> DataFrame:
@@ -195,15 +201,113 @@ def _ranking_answers(requests: DataFrame, star: DataFrame, like: DataFrame, near
     met = ranking.join(led, ["indicator_name", "year", "ascending"]).where(F.col("ranking") <= F.col("n"))
     anywhere = met.where(F.col("country").isNull())
     somewhere = met.where(F.col("country").isNotNull()).join(near, ["country", "fact_place"], "left_semi")
+    return anywhere.unionByName(somewhere)
+
+
+def _ranking_answers(requests: DataFrame, star: DataFrame, like: DataFrame, near: DataFrame) -> DataFrame:
     best = F.when(F.first("ascending"), F.min("value")).otherwise(F.max("value"))
     return (
-        anywhere.unionByName(somewhere)
+        _ranked_rows(requests, star, like, near)
         .groupBy("request")
         .agg(F.least(F.count("*"), F.first("n").cast("long")).alias("n_rows"), best.alias("answer"))
         .withColumn("other", F.lit(None).cast("double"))
     )
 
 
+def answer_rows(planned: DataFrame, star: DataFrame) -> DataFrame:
+    """``request, position, location_name, row_year, value, ranking``: the first rows of every request.
+
+    As many rows as an answer spells out. Facts are cut to that many per
+    indicator, location and year before they meet the requests.
+    """
+    requests, like, near = _lookups(planned, star)
+    facts = star.select(
+        F.col("indicator_name").alias("fact_name"),
+        F.col("location_name").alias("fact_place"),
+        F.col("year").alias("fact_year"),
+        "value",
+        "report_id",
+        "indicator_sk",
+    )
+    best_first = [F.desc("value"), F.col("report_id"), F.col("indicator_sk")]
+    cell = top_n_per_key(facts, ["fact_name", "fact_place", "fact_year"], best_first, SHOWN_LINES, "_n").drop("_n")
+    by_place = [F.desc("value"), F.col("fact_place"), F.col("report_id"), F.col("indicator_sk")]
+    year_top = top_n_per_key(facts, ["fact_name", "fact_year"], by_place, SNAPSHOT_ROWS, "_n").drop("_n")
+
+    def of_kind(kind: str) -> DataFrame:
+        return requests.where(F.col("kind") == kind).join(like, "indicator_name")
+
+    same_year = F.col("fact_year") == F.col("year")
+    none = F.lit(None).cast("int").alias("ranking")
+
+    def shaped(df: DataFrame, first: Column, then: Column, ranking: Column = none, year: str = "fact_year") -> DataFrame:
+        return df.select(
+            "request",
+            "kind",
+            "n",
+            F.col("fact_place").alias("location_name"),
+            F.col(year).alias("row_year"),
+            "value",
+            ranking.cast("int").alias("ranking"),
+            "report_id",
+            "indicator_sk",
+            first.alias("_first"),
+            then.cast("double").alias("_then"),
+        )
+
+    falling, plain = -F.col("value"), F.lit("")
+    values = of_kind("value").join(near, "country").join(cell, ["fact_name", "fact_place"]).where(same_year)
+    pairs = of_kind("comparison").join(cell, "fact_name").where(
+        same_year & F.col("fact_place").isin(F.col("first_country"), F.col("second_country"))
+    )
+    snapshots = of_kind("snapshot").join(year_top, "fact_name").where(same_year)
+    signed = facts.select(
+        "*", F.explode(F.array(F.lit(True), F.lit(False))).alias("ascending")
+    ).withColumn("_s", F.when(F.col("ascending"), F.col("value")).otherwise(-F.col("value")))
+    extremes = first_per_key(
+        signed,
+        ["fact_name", "fact_place", "ascending"],
+        [F.col("_s"), F.col("fact_year"), F.col("report_id"), F.col("indicator_sk")],
+        ["fact_year", "value", "report_id", "indicator_sk"],
+    )
+    best = of_kind("best_year").join(near, "country").join(extremes, ["fact_name", "fact_place", "ascending"])
+    best_sign = F.when(F.col("ascending"), F.col("value")).otherwise(-F.col("value"))
+    ranked = _ranked_rows(requests, star, like, near)
+    every = (
+        shaped(values, plain, falling)
+        .unionByName(shaped(pairs, F.col("fact_place"), falling))
+        .unionByName(shaped(snapshots, plain, falling))
+        .unionByName(shaped(best, plain, best_sign))
+        .unionByName(shaped(ranked, plain, F.col("ranking"), F.col("ranking"), "year"))
+    )
+    order = [F.col(c) for c in ("_first", "_then", "location_name", "row_year", "report_id", "indicator_sk")]
+    cut = top_n_per_key(every, ["request"], order, SHOWN_LINES, "position")
+    limit = (
+        F.when(F.col("kind") == "ranking", F.col("n"))
+        .when(F.col("kind") == "best_year", F.lit(1))
+        .otherwise(F.lit(SHOWN_LINES))
+    )
+    return cut.where(F.col("position") <= limit).select(
+        "request", "kind", "position", "location_name", "row_year", "value", "ranking"
+    )
+
+
+def _spelled(rows: DataFrame) -> DataFrame:
+    """Per request the first row, and all rows as lines."""
+    shown = format_value(F.col("value"))
+    dated = F.concat(F.col("location_name"), F.lit(" ("), F.col("row_year").cast("string"), F.lit(")"))
+    line = (
+        F.when(F.col("kind") == "ranking", F.concat(F.col("ranking").cast("string"), F.lit(". "), dated, F.lit(" — "), shown))
+        .when(F.col("kind") == "snapshot", F.concat(F.col("location_name"), F.lit(": "), shown))
+        .otherwise(F.concat(dated, F.lit(": "), shown))
+    )
+    first = F.min(F.struct("position", "location_name", "row_year", "value", "ranking")).alias("row")
+    lines = F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines")
+    return rows.groupBy("request").agg(first, lines).select(
+        "request", "row", F.transform("lines", lambda x: x["line"]).alias("lines")
+    )
+
+
 # --- sentences -------------------------------------------------------------------------------------
 
 
@@ -269,12 +373,13 @@ def list_sentences(locations: DataFrame, indicators: DataFrame) -> DataFrame:
     )
 
 
-def answer_text(answers: DataFrame, listings: DataFrame) -> DataFrame:
-    """``q_id, text``: one sentence per answered question.
+def answer_text(answers: DataFrame, rows: DataFrame, listings: DataFrame) -> DataFrame:
+    """``q_id, text``: a sentence for one row, a list of lines for several.
 
-    ``listings`` are the texts of :func:`list_sentences`.
+    ``rows`` are those of :func:`answer_rows`, ``listings`` the texts of
+    :func:`list_sentences`.
     """
-    answers = answers.join(listings, "tier", "left")
+    answers = answers.join(_spelled(rows), "request", "left").join(listings, "tier", "left")
     whole = F.col("answer").cast("long").cast("string")
     text = F.coalesce("indicator_name", F.lit("indicador"))
     year = F.col("year").cast("string")
@@ -296,6 +401,20 @@ def answer_text(answers: DataFrame, listings: DataFrame) -> DataFrame:
         .when(F.col("tier") == "meta:count_reports", _fill("Existem {v} relatórios com dados processados.", v=whole))
         .otherwise(F.col("listing"))
     )
+    row = {
+        "country": F.coalesce("country", "row.location_name"),
+        "year": F.col("row.row_year").cast("string"),
+        "value": format_value(F.col("row.value")),
+        "indicator": text,
+    }
+    ranking = F.col("row.ranking").cast("string")
+    header = F.concat(
+        F.lit('Resultados para "'),
+        F.col("indicator_name"),
+        F.lit('"'),
+        F.when(F.col("n_rows") > SHOWN_LINES, F.format_string(f" (mostrando {SHOWN_LINES} de %d)", "n_rows")).otherwise(""),
+        F.lit(":\n"),
+    )
     above = F.when(F.col("answer") > F.col("other"), "acima").otherwise("abaixo")
     compared = _fill(
         "{a} ficou {w} de {b} em {i} ({y}), com {v} vs {o}.",
@@ -315,13 +434,15 @@ def answer_text(answers: DataFrame, listings: DataFrame) -> DataFrame:
             _variant(q, W.EXISTENCE_SENTENCES, count=whole, indicator=text, country=country, year=year),
         )
         .when(
-            (F.col("n_rows") == 0) | ((F.col("kind") == "comparison") & (F.col("answer").isNull() | F.col("other").isNull())),
+            F.col("n_rows") == 0,
             F.concat(nothing, F.lit(" (Pesquisa: "), hints, F.lit(".)")),
         )
-        .when(F.col("kind") == "comparison", compared)
-        .otherwise(
-            _variant(q, W.VALUE_SENTENCES, year=year, country=country, value=value, indicator=text)
+        .when(
+            (F.col("kind") == "comparison") & F.col("answer").isNotNull() & F.col("other").isNotNull(), compared
         )
+        .when(F.col("n_rows") > 1, F.concat(header, F.array_join("lines", "\n")))
+        .when(F.col("kind") == "ranking", _variant(q, W.RANKING_SENTENCES, ranking=ranking, **row))
+        .otherwise(_variant(q, W.VALUE_SENTENCES, **row))
     )
     return answers.select("q_id", "kind", sentence.alias("text"))
 

@@ -258,6 +258,11 @@ _ANSWERS = {
 
 
 def _answers(t: Tables):
+    planned, star, meta = _planned(t)
+    return N.q_answer_batch(planned, star, meta)
+
+
+def _planned(t: Tables):
     star = t.star_table
     codes = t.dim_indicator
     latest = analytics.max_year(star).first()["max_year"]
@@ -278,7 +283,7 @@ def _answers(t: Tables):
         .agg(F.count("*").alias("n"))
         .select(F.lit("meta:list_indicators").alias("tier"), "n")
     )
-    return N.q_answer_batch(planned, star, counts.select(tier.alias("tier"), "n").unionByName(lists))
+    return planned, star, counts.select(tier.alias("tier"), "n").unionByName(lists)
 
 
 @query(
@@ -310,6 +315,38 @@ _FILL = {
 }
 
 
+_ROW = {
+    "country": "coalesce(country, row_place)",
+    "year": "CAST(row_year AS VARCHAR)",
+    "value": _SHOW.format("row_value"),
+    "indicator": "indicator_name",
+}
+_RANKED_ROW = {**_ROW, "ranking": "CAST(row_ranking AS VARCHAR)"}
+_ROWS = {
+    "every": """SELECT q_id, kind, p.n AS cut, location_name, s.year AS row_year, value, report_id, indicator_sk, NULL AS ranking,
+          CASE WHEN kind = 'comparison' THEN location_name ELSE '' END AS f,
+          CASE WHEN kind = 'best_year' AND ascending THEN value ELSE -value END AS t
+        FROM planned p JOIN star s ON s.indicator_name = p.indicator_name
+          AND (kind = 'best_year' OR s.year = p.year)
+          AND CASE kind WHEN 'value' THEN contains(location_name, country) WHEN 'best_year' THEN contains(location_name, country)
+            WHEN 'comparison' THEN location_name IN (pair[1], pair[2]) WHEN 'snapshot' THEN true ELSE false END
+        UNION ALL SELECT q_id, kind, p.n, location_name, led.year, value, report_id, indicator_sk,
+          CASE WHEN ascending THEN up ELSE down END, '', CASE WHEN ascending THEN up ELSE down END
+        FROM planned p JOIN led ON led.indicator_name = p.indicator_name AND led.year = p.year
+        WHERE kind = 'ranking' AND CASE WHEN ascending THEN up ELSE down END <= p.n
+          AND (country IS NULL OR contains(location_name, country))""",
+    "placed": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id
+          ORDER BY f, t, location_name, row_year, report_id, indicator_sk) AS position FROM every)
+        WHERE position <= CASE kind WHEN 'ranking' THEN least(cut, 25) WHEN 'best_year' THEN 1 WHEN 'snapshot' THEN 20 ELSE 25 END""",
+    "spelled": f"""SELECT q_id, arg_min(location_name, position) AS row_place, arg_min(row_year, position) AS row_year,
+          arg_min(value, position) AS row_value, arg_min(ranking, position) AS row_ranking,
+          string_agg(CASE kind WHEN 'ranking' THEN ranking || '. ' || location_name || ' (' || row_year || ') — ' || {_SHOW.format('value')}
+            WHEN 'snapshot' THEN location_name || ': ' || {_SHOW.format('value')}
+            ELSE location_name || ' (' || row_year || '): ' || {_SHOW.format('value')} END, chr(10) ORDER BY position) AS lines
+        FROM placed GROUP BY q_id""",
+}
+
+
 @query(
     "answer_text",
     f"""SELECT q_id, kind, CASE kind WHEN 'no_indicator' THEN 'Não foi possível identificar o indicador.'
@@ -323,18 +360,23 @@ _FILL = {
               ELSE (SELECT 'Os indicadores disponíveis são:' || chr(10) || string_agg('• ' || x, chr(10) ORDER BY x)
                 FROM (SELECT DISTINCT indicator_code || ' – ' || indicator_name AS x FROM dim_indicator)) END
             WHEN kind = 'existence' THEN {_variant_sql(W.EXISTENCE_SENTENCES, {**_FILL, 'count': 'CAST(CAST(answer AS BIGINT) AS VARCHAR)'})}
-            WHEN n_rows = 0 OR (kind = 'comparison' AND (answer IS NULL OR other IS NULL)) THEN
+            WHEN n_rows = 0 THEN
               {_variant_sql(W.NOTHING_SENTENCES, {})} || ' (Pesquisa: ' || concat_ws(', ', 'indicador "' || indicator_name || '"',
                 'país "' || country || '"', 'ano ' || year) || '.)'
-            WHEN kind = 'comparison' THEN pair[1] || ' ficou ' || CASE WHEN answer > other THEN 'acima' ELSE 'abaixo' END
+            WHEN kind = 'comparison' AND answer IS NOT NULL AND other IS NOT NULL THEN pair[1] || ' ficou ' || CASE WHEN answer > other THEN 'acima' ELSE 'abaixo' END
               || ' de ' || pair[2] || ' em ' || indicator_name || ' (' || year || '), com ' || {_SHOW.format('answer')}
               || ' vs ' || {_SHOW.format('other')} || '.'
-            ELSE {_variant_sql(W.VALUE_SENTENCES, _FILL)} END END AS text FROM answers""",
+            WHEN n_rows > 1 THEN 'Resultados para "' || indicator_name || '"' || CASE WHEN n_rows > 25
+              THEN ' (mostrando 25 de ' || n_rows || ')' ELSE '' END || ':' || chr(10) || lines
+            WHEN kind = 'ranking' THEN {_variant_sql(W.RANKING_SENTENCES, _RANKED_ROW)}
+            ELSE {_variant_sql(W.VALUE_SENTENCES, _ROW)} END END AS text FROM answers LEFT JOIN spelled USING (q_id)""",
     ["questions", "star"],
-    _ANSWERS,
+    {**_ANSWERS, **_ROWS},
 )
 def answer_text(t: Tables):
-    return N.answer_text(_answers(t), N.list_sentences(t.dim_location, t.dim_indicator))
+    planned, star, meta = _planned(t)
+    answered = N.q_answer_batch(planned, star, meta)
+    return N.answer_text(answered, N.answer_rows(planned, star), N.list_sentences(t.dim_location, t.dim_indicator))
 
 
 @query(
