@@ -95,25 +95,33 @@ def _containing(names: DataFrame, needles: DataFrame, name: str, needle: str) ->
     return hits.select(F.col("entry").alias(name), F.col("name").alias(needle))
 
 
-def _lookups(planned: DataFrame, star: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct requests, and the indicator and location names that contain what they ask for."""
+Lookups = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def lookups(planned: DataFrame, star: DataFrame) -> Lookups:
+    """Distinct requests, and the indicator and location names that contain what they ask for.
+
+    Small tables that every kind of lookup joins, so they are written out.
+    """
     requests = written(planned.select("request", *_REQUEST).distinct(), "requests")
     names = star.select(F.col("indicator_name").alias("entry")).distinct()
     wanted = requests.select(F.col("indicator_name").alias("needle")).where("needle IS NOT NULL").distinct()
-    like = _containing(names, wanted, "fact_name", "indicator_name")
+    like = written(_containing(names, wanted, "fact_name", "indicator_name"), "names-like")
     places = star.select(F.col("location_name").alias("entry")).distinct()
     countries = requests.select(F.col("country").alias("needle")).where("needle IS NOT NULL").distinct()
-    return requests, like, _containing(places, countries, "fact_place", "country")
+    near = written(_containing(places, countries, "fact_place", "country"), "places-like")
+    return requests, like, near
 
 
-def q_answer_batch(planned: DataFrame, star: DataFrame, meta: DataFrame) -> DataFrame:
+def q_answer_batch(planned: DataFrame, star: DataFrame, meta: DataFrame, found: Lookups) -> DataFrame:
     """Rows, best value and second value per question.
 
     Equal requests are answered once. Facts are first summed up per indicator,
     location and year, so what requests meet is bounded by the dimensions.
-    ``meta`` has ``tier, n`` for the questions about the warehouse itself.
+    ``meta`` has ``tier, n`` for the questions about the warehouse itself,
+    ``found`` is what :func:`lookups` returned.
     """
-    requests, like, near = _lookups(planned, star)
+    requests, like, near = found
     cells = star.groupBy("indicator_name", "location_name", "year").agg(
         F.count("*").alias("n_facts"), F.max("value").alias("hi"), F.min("value").alias("lo")
     )
@@ -214,13 +222,13 @@ def _ranking_answers(requests: DataFrame, star: DataFrame, like: DataFrame, near
     )
 
 
-def answer_rows(planned: DataFrame, star: DataFrame) -> DataFrame:
+def answer_rows(star: DataFrame, found: Lookups) -> DataFrame:
     """``request, position, location_name, row_year, value, ranking``: the first rows of every request.
 
     As many rows as an answer spells out. Facts are cut to that many per
     indicator, location and year before they meet the requests.
     """
-    requests, like, near = _lookups(planned, star)
+    requests, like, near = found
     facts = star.select(
         F.col("indicator_name").alias("fact_name"),
         F.col("location_name").alias("fact_place"),

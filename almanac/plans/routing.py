@@ -259,7 +259,7 @@ _ANSWERS = {
 
 def _answers(t: Tables):
     planned, star, meta = _planned(t)
-    return N.q_answer_batch(planned, star, meta)
+    return N.q_answer_batch(planned, star, meta, N.lookups(planned, star))
 
 
 def _planned(t: Tables):
@@ -375,8 +375,9 @@ _ROWS = {
 )
 def answer_text(t: Tables):
     planned, star, meta = _planned(t)
-    answered = N.q_answer_batch(planned, star, meta)
-    return N.answer_text(answered, N.answer_rows(planned, star), N.list_sentences(t.dim_location, t.dim_indicator))
+    found = N.lookups(planned, star)
+    answered = N.q_answer_batch(planned, star, meta, found)
+    return N.answer_text(answered, N.answer_rows(star, found), N.list_sentences(t.dim_location, t.dim_indicator))
 
 
 @query(
