@@ -268,3 +268,8 @@ def facts_per_report(reports: DataFrame, facts: DataFrame) -> DataFrame:
     return reports.select("report_id").join(counts, "report_id", "left").select(
         "report_id", F.coalesce("n", F.lit(0)).alias("n_facts")
     )
+
+
+def project_exclude_keys(df: DataFrame) -> DataFrame:
+    """Only columns fit to be shown: no surrogate keys and no ids."""
+    return df.select(*[c for c in df.columns if not c.endswith(("_sk", "_id"))])

@@ -324,3 +324,10 @@ def test_null_urls_are_no_duplicates(spark):
     accepted, errors = G.batch_ingest_split(payload, registry)
     assert [r[0] for r in rows(accepted, "index")] == [0, 1, 3]
     assert rows(errors, "index", "error") == [(2, "source_code, file_name e publication_date são obrigatórios"), (4, "URL duplicado")]
+
+
+def test_keys_are_not_shown(spark):
+    from almanac.operators.analytics import project_exclude_keys
+
+    df = spark.createDataFrame([(1, 2, "x", 3.0)], "indicator_sk int, report_id int, name string, value double")
+    assert project_exclude_keys(df).columns == ["name", "value"]
