@@ -277,3 +277,23 @@ def rag_context(t: Tables):
     unanswered = queries.select((F.col("query_id") + 1000).alias("query_id"))
     asked = queries.select("query_id").unionByName(unanswered)
     return V.rag_context(asked, hits, chunks).withColumn("sources", F.array_join("sources", ","))
+
+
+@query(
+    "report_run",
+    f"""SELECT r.report_id, step, n IS NOT NULL AS indexed, coalesce(n, 0) AS n_chunks FROM op_report r
+        LEFT JOIN (SELECT report_id, step FROM (SELECT *, row_number() OVER (
+          PARTITION BY report_id ORDER BY log_time DESC, id DESC) AS k FROM report_logs) WHERE k = 1) l ON l.report_id = r.report_id
+        LEFT JOIN (SELECT 'report_' || split_part(source, '/', 2) || '.pdf' AS file_name, count(*) AS n
+          FROM ({CHUNKS_SQL}) WHERE page > 0 GROUP BY ALL) c ON c.file_name = r.file_name
+        WHERE r.pipeline_status <> 'pending'""",
+    ["doc_pages", "op_report", "report_logs"],
+)
+def report_run(t: Tables):
+    """The report run: last failing step and index state of every candidate."""
+    doc = F.split_part("source", F.lit("/"), F.lit(2))
+    named = t.doc_pages.where(F.col("page") > 0).withColumn(
+        "source", F.concat(F.lit("report_"), doc, F.lit(".pdf"))
+    )
+    coverage = L.index_coverage(t.op_report, D.chunk_counts(D.chunk_fixed(named)))
+    return L.step_report(t.op_report, coverage, t.report_logs)
