@@ -1,10 +1,14 @@
 """The queries that apply this subpackage's operators to the given tables, and their SQL."""
 
+import itertools
+import zlib
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import byte_bpe, decontaminate, jaccard_join, language_id, quality, url_filter
+from almanac.llm import byte_bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, quality, token_store, topk_search, url_filter
 from almanac.llm.common import tables
 
 # fixed values of the query's contract
@@ -33,6 +37,29 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.quantised(tables(spark, sf_dir, "embeddings"))
+    return topk_search.search(vectors, vectors.where("id % 50 = 0"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter(F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)), lambda s: s["exact"])
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    starts = F.transform(base, lambda s: s["first_word"])
+    spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
+    return found.select(
+        "doc_id", "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined(spans).alias("labels"),
+        F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def bpe_digests(docs: DataFrame, spark: SparkSession) -> list[Column]:
     path = public_tokenizers.path(RANKS)
     ids = byte_bpe.encode(F.col("text"), spark, path, public_tokenizers.PATTERN)
@@ -53,6 +80,23 @@ def digested(coded: DataFrame) -> DataFrame:
     )
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_store.stored(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+    @F.arrow_udf("bigint")
+    def crc(ids: pa.Array) -> pa.Array:
+        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4")
+        return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in itertools.pairwise(ends.tolist())], pa.int64())
+
+    return found.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+
+
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_text(tables(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.classes(tables(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -71,7 +115,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_decontaminate, op5_byte_bpe, op8_jaccard_join, op9_quality, op10_language_id)
+    for f in (
+        op1_url_filter, op2_decontaminate, op3_topk_search, op4_license_scan, op5_byte_bpe, op6_token_store, op7_html_extract,
+        op8_jaccard_join, op9_quality, op10_language_id,
+    )
 }
 
 _RULE_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
@@ -110,4 +157,15 @@ items AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op3_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
 }
