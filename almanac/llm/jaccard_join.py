@@ -3,8 +3,9 @@
 Two sets with ``100 * intersection >= 75 * union`` have sizes within a quarter of each other, and ``required(n, m)``
 shingles in common. All sets share one order of shingles: those that are frequent come last, the rest by hash.
 
-* **Large sets.** Of two linked sets, the first ``n - ceil(3 n / 4) + 1`` shingles of each (its prefix) have one in
-  common, so the inverted lists of prefixes hold every link.
+* **Large sets.** Of two linked sets, the first ``n - ceil(3 n / 4) + l`` shingles of each (its prefix) have l in
+  common, so the inverted lists of prefixes hold every link. With l growing with the size, a set with fewer than l lists
+  that another set is in can't have a link, and is left out before anything is compared.
 * **Small sets.** The smaller of two linked sets has n shingles and shares ``c = required(n, n)`` of them with the other.
   Each set of m shingles lists its subsets of size c for every n from ``ceil(3 m / 4)`` to m; equal subsets meet.
 * **The boundary** is the size x with the least cost: subsets listed by sets up to x, and list entries read by sets
@@ -16,6 +17,7 @@ after comparisons in proportion to its size. Then every pair that is still in on
 so no link is lost, whatever the rounds found.
 """
 
+import gc
 import itertools
 import math
 from collections.abc import Callable, Iterator
@@ -26,15 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import utf8, values
+from almanac.llm.common import utf8
 from almanac.session import written
 
 SIZE = 5
 PERCENT = 75
 FREQUENT = 200_000  # shingles that the order knows to be frequent; what it knows never changes results
 LARGEST_SUBSETS = 14  # the boundary is at most here: above, a set has thousands of subsets
-ROUNDS = 3
-FLUSH = 4_000_000  # shingles that are counted together in one task
+ROUNDS = 8
+FLUSH = 1_500_000  # shingles that are counted together in one task
 SALTS = 64  # a frequent shingle's list is dealt over so many tasks
 BITMAP = 1 << 22
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -50,8 +52,13 @@ def required(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def least_shared(n: int) -> int:
+    """How many shingles of their prefixes linked sets have in common at least, by the size of the smaller one."""
+    return max(1, n // 20)
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - least_partner(n, percent) + 1
+    return n - least_partner(n, percent) + least_shared(n)
 
 
 def subset_sizes(m: int, percent: int = PERCENT) -> list[int]:
@@ -73,35 +80,66 @@ def _folded(h: np.ndarray, k: int) -> np.ndarray:
     return total
 
 
+class _Places(dict):
+    """A number for each word met, and the word's hash at that place."""
+
+    def __init__(self):
+        self.hashes = np.zeros(1 << 16, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros(n, np.uint64)])
+        self.hashes[n] = xxhash.xxh3_64_intdigest(word)
+        self[word] = n
+        return n
+
+
 class Shingler:
-    """The shingles of a text, as sorted distinct 64-bit hashes. Words are parted by ASCII white space."""
+    """The shingles of texts, as sorted distinct 64-bit hashes. Words are parted by ASCII white space."""
 
     def __init__(self, size: int = SIZE):
-        self.size, self.known = size, {}
+        self.size, self.places = size, _Places()
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.places) > 400_000:
+            self.places = _Places()
+        words = [utf8(t).lower().split() for t in texts]
+        lengths = list(map(len, words))
+        at = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(words)), np.int64, sum(lengths))
+        h, k, out, start = self.places.hashes[at], self.size, [], 0
+        runs = _folded(h, k) if len(h) >= k else h[:0]
+        for n in lengths:
+            if n >= k:
+                some = np.sort(runs[start : start + n - k + 1])
+                out.append(some[np.concatenate(([True], some[1:] != some[:-1]))])
+            else:
+                out.append(_folded(h[start : start + n], n) if n else h[:0])
+            start += n
+        return out
+
 
-    def _word(self, word: bytes) -> int:
-        h = self.known.get(word)
-        if h is None:
-            if len(self.known) > 400_000:
-                self.known.clear()
-            h = self.known[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def shingled(column: pa.Array, shingler: Shingler, step: int = 100) -> Iterator[np.ndarray]:
+    for i in range(0, len(column), step):
+        yield from shingler(column.slice(i, step).to_pylist())
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = utf8(text).lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self._word, words), np.uint64, len(words))
-        return np.unique(_folded(h, min(self.size, len(h))))
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
 def keys_of(shingles: np.ndarray, boundary: int, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Lists that a set is in: hash and whether it is a frequent shingle's. ``frequent`` is sorted."""
     m, out, hot = len(shingles), [], []
     if m and m >= least_partner(boundary + 1, percent):
-        at = np.searchsorted(frequent, shingles)
-        common = np.zeros(m, bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == shingles
-        first = np.argsort(common, kind="stable")[: prefix_length(m, percent)]  # the rest of the order is by hash
+        wanted = prefix_length(m, percent)
+        for some in (shingles[: 2 * wanted], shingles):  # most often the first ones have enough that are rare
+            at = np.minimum(np.searchsorted(frequent, some), max(0, len(frequent) - 1))
+            common = frequent[at] == some if len(frequent) else np.zeros(len(some), bool)
+            if len(some) - common.sum() >= wanted:
+                break
+        first = np.argsort(common, kind="stable")[:wanted]  # rare ones first, and each kind by hash
         out.append(shingles[first])
         hot.append(common[first])
     if 0 < m <= boundary:
@@ -142,9 +180,9 @@ def _survey(size: int, percent: int):
             ], ["kind", "key", "n", "cost"])
 
         for batch in batches:
-            for text in values(batch.column(0)):
-                sets.append(shingler(text))
-                n += len(sets[-1])
+            for s in shingled(batch.column(0), shingler):
+                sets.append(s)
+                n += len(s)
                 if n >= FLUSH:
                     yield flushed()
                     sets, n = [], 0
@@ -173,12 +211,11 @@ def _listing(size: int, percent: int, boundary: int, shared):
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 n, a, b, keys, hot = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingler(text)
-                    d = xxhash.xxh3_128_digest(s.tobytes())
+                for s in shingled(part.column(1), shingler):
+                    d = _digest(s)
                     n.append(len(s))
-                    a.append(int.from_bytes(d[:8], "big", signed=True))
-                    b.append(int.from_bytes(d[8:], "big", signed=True))
+                    a.append(d[0])
+                    b.append(d[1])
                     if d in seen:
                         keys.append(None)
                         hot.append(None)
@@ -187,36 +224,69 @@ def _listing(size: int, percent: int, boundary: int, shared):
                         seen.clear()
                     seen.add(d)
                     k, h = keys_of(s, boundary, frequent, percent)
-                    keys.append(k.view(np.int64))
-                    hot.append(h)
+                    keys.append(k[~h].tobytes())
+                    hot.append(k[h].tobytes())
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.bool_())),
+                    pa.array(keys, pa.binary()), pa.array(hot, pa.binary()),
                 ], ["id", "n", "a", "b", "keys", "hot"])
 
     return listed
 
 
+def _dealt(buckets: int):
+    """Entries of lists, 16 bytes each, dealt by key into buckets; those of frequent keys by key and set."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = batch.column(0).to_numpy().view(np.uint64)
+            for hot in (0, 1):
+                blobs = batch.column(1 + hot).to_pylist()
+                keys = np.frombuffer(b"".join(blobs), np.uint64)
+                if not len(keys):
+                    continue
+                sets = np.repeat(a, [len(x) // 8 for x in blobs])
+                bucket = (keys if not hot else _mixed(keys ^ sets % np.uint64(SALTS) + _A)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket, both = bucket[order], np.stack([keys[order], sets[order]], axis=1)
+                edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(np.full(len(edge) - 1, hot, np.int32)),
+                    pa.array([both[i:j].tobytes() for i, j in itertools.pairwise(edge)], pa.binary()),
+                ], ["bucket", "hot", "entries"])
+
+    return dealt
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and set, one for each, without keys that one set only has; frequent keys stay."""
-    tail = None
-    for batch in itertools.chain(batches, [None]):
-        rows = tail if batch is None else batch if tail is None else pa.concat_batches([tail, batch])
-        if rows is None or not rows.num_rows:
-            continue
-        key, salt, a = (rows.column(i).to_numpy() for i in range(3))
-        new_key = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
-        last = len(key) if batch is None else int(np.flatnonzero(new_key)[-1])  # the last key may go on
-        if batch is not None and last == 0 and len(key) > 100_000:
-            last = len(key) - 1  # a long list: all but its last row can go, which keeps the key repeated
-        new = np.concatenate(([True], new_key[1:] | (a[1:] != a[:-1])))
-        of = np.cumsum(new_key) - 1
-        sets = np.bincount(of, new)
-        keep = new & ((sets[of] > 1) | (salt > 0))
-        keep[last:] = False
-        tail = rows.slice(last) if last < len(key) else None
-        if keep.any():
-            yield rows.filter(pa.array(keep))
+    """From rows sorted by bucket: each entry once, without keys that only one set has; frequent keys stay."""
+
+    def done(hot: int, blobs: list[bytes]) -> pa.RecordBatch:
+        both = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        both = both[np.concatenate(([True], (both[1:] != both[:-1]).any(axis=1)))]
+        new = np.concatenate(([True], both[1:, 0] != both[:-1, 0]))
+        if not hot:
+            of = np.cumsum(new) - 1
+            both = both[(np.bincount(of) > 1)[of]]
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["key", "a"])
+
+    at, blobs = None, []
+    for batch in batches:
+        for bucket, hot, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != (bucket, hot) and blobs:
+                yield done(at[1], blobs)
+                blobs = []
+            at = (bucket, hot)
+            blobs.append(entries)
+    if blobs:
+        yield done(at[1], blobs)
+
+
+def _release(spark) -> None:
+    """Let Spark delete the shuffle files of finished steps, which otherwise stay until the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,18 +324,14 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
         return pa.array((shared.value[p >> 3] >> (7 - (p & 7)) & 1).astype(bool))
 
     @F.arrow_udf("struct<a:bigint,h:array<bigint>>")
-    def shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def sets_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler(size)
         for texts in batches:
-            rows = []
-            for text in values(texts):
-                s = shingler(text)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append({"a": int.from_bytes(d[:8], "big", signed=True), "h": s.view(np.int64)})
+            rows = [{"a": _digest(s)[0], "h": s.view(np.int64)} for s in shingled(texts, shingler)]
             yield pa.array(rows, pa.struct([("a", pa.int64()), ("h", pa.list_(pa.int64()))]))
 
     docs = docs.where("id is not null").where(maybe(F.pmod(F.xxhash64("id"), F.lit(BITMAP))))
-    found = docs.join(wanted, "id").select("a", shingled("text").alias("s"))
+    found = docs.join(wanted, "id").select("a", sets_of("text").alias("s"))
     # of rows that share an id the one with the wanted set counts
     return found.where("a = s.a").select("a", F.col("s.h").alias("h")).dropDuplicates(["a"])
 
@@ -308,7 +374,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: s
     rows = written(
         docs.mapInArrow(
             _listing(size, percent, boundary_of(small, percent), shared),
-            f"id {kind}, n bigint, a bigint, b bigint, keys array<bigint>, hot array<boolean>",
+            f"id {kind}, n bigint, a bigint, b bigint, keys binary, hot binary",
         ),
         "sets",
     )
@@ -318,15 +384,20 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: s
     sets = written(sets, "distinct")
     if sets.where("b != b2").limit(1).count():
         raise ValueError("two sets have the same 64-bit digest")
-    entries = rows.where("keys is not null").select("a", "n", F.inline(F.arrays_zip("keys", "hot")))
-    salt = F.when(F.col("hot"), F.pmod("a", F.lit(SALTS)) + 1).otherwise(0)
+    buckets = 1 << max(10, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     lists = (
-        entries.select(F.col("keys").alias("key"), salt.cast("int").alias("salt"), "a", "n")
-        .repartition("key", "salt")
-        .sortWithinPartitions("key", "salt", "a")
-        .mapInArrow(_repeated, "key bigint, salt int, a bigint, n bigint")
-    )
-    lists = written(lists.select("key", "a", "n"), "lists")
+        rows.where("keys is not null and n > 0").select("a", "keys", "hot")
+        .mapInArrow(_dealt(buckets), "bucket int, hot int, entries binary")
+        .repartition("bucket", "hot")
+        .sortWithinPartitions("bucket", "hot")
+        .mapInArrow(_repeated, "key bigint, a bigint")
+    )
+    lists = written(lists, "entries")
+    _release(spark)
+    # the smaller of two linked sets may be a partner of the least size
+    shared_by_all = F.expr(f"greatest(1, (({percent} * n + 99) div 100) div 20)")
+    enough = lists.groupBy("a").count().join(sets.select("a", "n"), "a").where(F.col("count") >= shared_by_all)
+    lists = written(lists.join(enough.select("a", "n"), "a").select("key", "a", "n"), "lists")
     labels = written(_joined(docs, lists, sets, size, percent), "labels")
     ids = sets.join(labels, sets.a == labels.node, "left").select("a", F.coalesce("label", "a").alias("label"), "id")
     least = ids.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -343,33 +414,36 @@ def _joined(docs: DataFrame, lists: DataFrame, sets: DataFrame, size: int, perce
     fits = _compatible(percent)
     wanted = lists.select("a").distinct().join(sets.where("id is not null").select("a", "id"), "a")
     shingles = written(_sets(docs, size, wanted), "shingles")
-    edges = docs.sparkSession.createDataFrame([], "u bigint, v bigint")
-    labels = None
+    spark = docs.sparkSession
+    labels = spark.createDataFrame([], "node bigint, label bigint")
     for turn in range(ROUNDS + 1):
-        if labels is None:
-            now = lists.withColumn("label", F.col("a"))
-        else:
-            now = lists.join(labels.withColumnRenamed("node", "a"), "a", "left")
-            now = now.withColumn("label", F.coalesce("label", "a"))
-        rank = F.xxhash64("label", F.lit(turn))
-        chosen = now.groupBy("key").agg(
-            F.min(F.struct(rank, F.xxhash64("a", F.lit(turn)), "label", "a", "n")).alias("p"),
-            F.max(F.struct(rank, F.xxhash64("a", F.lit(turn)), "label", "a", "n")).alias("q"),
-        ).where("p.label != q.label")
-        if turn < ROUNDS:
+        now = lists.select("key", "a", "n").join(labels.withColumnRenamed("node", "a"), "a", "left")
+        now = now.withColumn("label", F.coalesce("label", "a"))
+        # two sets of different components, the same in all lists that have them
+        order = F.struct(F.xxhash64("label", F.lit(turn)), F.xxhash64("a", F.lit(turn)), "label", "a", "n")
+        chosen = now.groupBy("key").agg(F.min(order).alias("p"), F.max(order).alias("q")).where("p.label != q.label")
+        lists = written(now.join(chosen, "key"), "open")
+        groups = lists.groupBy("key", "label").count().groupBy("key")
+        pairs = groups.agg(F.sum("count").alias("all"), F.sum(F.col("count") ** 2).alias("own"))
+        entries, left = pairs.agg(F.sum("all"), F.sum(F.col("all") ** 2 - F.col("own"))).first()
+        if not entries:
+            break
+        last = turn == ROUNDS or turn and left <= 4 * entries
+        if not last:
             other = F.when(F.col("label") != F.col("p.label"), F.col("p")).otherwise(F.col("q"))
-            pairs = now.join(chosen, "key").select("a", "n", other.alias("o")).where(fits("n", "o.n"))
-            pairs = pairs.groupBy("a").agg(F.min("o").alias("o")).select(F.col("a").alias("u"), F.col("o.a").alias("v"))
+            pairs = lists.select("a", "n", other.alias("o")).where(fits("n", "o.n")).groupBy("a").agg(F.min("o").alias("o"))
+            pairs = pairs.select(F.col("a").alias("u"), F.col("o.a").alias("v"))
         else:
-            open_ = written(now.join(chosen.select("key"), "key", "left_semi"), "open")
-            left = open_.selectExpr("key", "a u", "n un", "label ul")
-            right = open_.selectExpr("key", "a v", "n vn", "label vl")
-            pairs = left.join(right, "key").where("ul < vl").where(fits("un", "vn")).select("u", "v").distinct()
-        found = written(_linked(pairs, shingles, percent), "links")
-        if found.limit(1).count():
-            edges = edges.union(found) if labels is None else found.union(labels.selectExpr("node u", "label v"))
-            labels = components(edges)
-    return labels if labels is not None else edges.selectExpr("u node", "v label")
+            ours = lists.selectExpr("key", "a u", "n un", "label ul")
+            pairs = ours.join(lists.selectExpr("key", "a v", "n vn", "label vl"), "key")
+            pairs = pairs.where("ul < vl").where(fits("un", "vn")).select("u", "v").distinct()
+        links = written(_linked(pairs, shingles, percent), "links")
+        _release(spark)
+        if not links.isEmpty():
+            labels = components(links.union(labels.select("node", "label")))
+        if last:
+            break
+    return labels
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -383,7 +457,7 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
         gone = found.where(group.isNotNull() & (F.col("id") != F.col("component_id"))).select("id").distinct()
         return rows.join(gone, F.col("_own.doc_id") == F.col("id"), "left_anti").select("_own.*")
     # rows without id, or with a repeated one, are told apart by their set
-    digest = _digest(size)
+    digest = _set_id(size)
     keyed = rows.withColumn("_a", digest(F.col("_own.text")))
     best = first.join(found.select("label", "set_id", "id").distinct(), "label").where(F.col("first").eqNullSafe(F.col("id")))
     best = best.groupBy("label", "first").agg(F.min("set_id").alias("set_id")).select("set_id", "first")
@@ -392,18 +466,13 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     return kept.union(keyed.where(F.col("_a").isNull()).select("_own.*"))
 
 
-def _digest(size: int):
+def _set_id(size: int):
     """The digest of a text's shingles as ``classes`` has it; null without words."""
 
     @F.arrow_udf("bigint")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler(size)
         for texts in batches:
-            out = []
-            for text in values(texts):
-                s = shingler(text)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                out.append(int.from_bytes(d[:8], "big", signed=True) if len(s) else None)
-            yield pa.array(out, pa.int64())
+            yield pa.array([_digest(s)[0] if len(s) else None for s in shingled(texts, shingler)], pa.int64())
 
     return digest
