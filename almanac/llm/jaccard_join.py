@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.common import utf8
-from almanac.session import written
+from almanac.session import shared_dir, written
 
 SIZE = 5
 PERCENT = 75
@@ -371,13 +371,12 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: s
     frequent = np.sort(top["key"].to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
     small = {r["key"]: (r["n"], r["cost"]) for r in survey.where("kind = 1").collect()}  # one row for each small size
     shared = spark.sparkContext.broadcast(frequent)
-    rows = written(
-        docs.mapInArrow(
-            _listing(size, percent, boundary_of(small, percent), shared),
-            f"id {kind}, n bigint, a bigint, b bigint, keys binary, hot binary",
-        ),
-        "sets",
-    )
+    listing = _listing(size, percent, boundary_of(small, percent), shared)
+    schema = f"id {kind}, n bigint, a bigint, b bigint, keys binary, hot binary"
+    path = shared_dir(spark, "keys")
+    docs.mapInArrow(listing, schema).write.parquet(path)
+    keys = spark.read.schema(schema).parquet(path)
+    rows = written(keys.select("id", "n", "a", "b"), "sets")
     sets = rows.where("n > 0").groupBy("a").agg(
         F.min("id").alias("id"), F.min("b").alias("b"), F.max("b").alias("b2"), F.max("n").alias("n")
     )
@@ -386,13 +385,14 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: s
         raise ValueError("two sets have the same 64-bit digest")
     buckets = 1 << max(10, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     lists = (
-        rows.where("keys is not null and n > 0").select("a", "keys", "hot")
+        keys.where("keys is not null and n > 0").select("a", "keys", "hot")
         .mapInArrow(_dealt(buckets), "bucket int, hot int, entries binary")
         .repartition("bucket", "hot")
         .sortWithinPartitions("bucket", "hot")
         .mapInArrow(_repeated, "key bigint, a bigint")
     )
     lists = written(lists, "entries")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)  # the lists have them now
     _release(spark)
     # the smaller of two linked sets may be a partner of the least size
     shared_by_all = F.expr(f"greatest(1, (({percent} * n + 99) div 100) div 20)")
@@ -422,7 +422,9 @@ def _joined(docs: DataFrame, lists: DataFrame, sets: DataFrame, size: int, perce
         # two sets of different components, the same in all lists that have them
         order = F.struct(F.xxhash64("label", F.lit(turn)), F.xxhash64("a", F.lit(turn)), "label", "a", "n")
         chosen = now.groupBy("key").agg(F.min(order).alias("p"), F.max(order).alias("q")).where("p.label != q.label")
-        lists = written(now.join(chosen, "key"), "open")
+        brief = [F.struct(*(F.col(f"{x}.{f}") for f in ("label", "a", "n"))).alias(x) for x in "pq"]
+        lists = written(now.join(chosen.select("key", *brief), "key"), "open")
+        _release(spark)
         groups = lists.groupBy("key", "label").count().groupBy("key")
         pairs = groups.agg(F.sum("count").alias("all"), F.sum(F.col("count") ** 2).alias("own"))
         entries, left = pairs.agg(F.sum("all"), F.sum(F.col("all") ** 2 - F.col("own"))).first()
