@@ -22,7 +22,7 @@ REFUSALS = {
 }
 
 
-def plan_answers(questions: DataFrame, aliases: DataFrame, indicators: DataFrame, latest_year: int) -> DataFrame:
+def plan_answers(questions: DataFrame, aliases: DataFrame, indicators: DataFrame, latest_year: int | None) -> DataFrame:
     """Every question with its tier, entities and the kind of lookup that answers it.
 
     The result is written out, as every kind of lookup reads it.

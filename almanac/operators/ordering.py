@@ -45,7 +45,8 @@ GROUP_LIMIT = 1_000
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, position: str) -> DataFrame:
     """At most ``n`` rows per key; each partition is limited before the shuffle."""
     if n > GROUP_LIMIT:
-        return number_rows(df, keys, order, position).where(F.col(position) <= n)
+        numbered = number_rows(df, keys, order, position).where(F.col(position) <= n)
+        return numbered.withColumn(position, F.col(position).cast("int"))
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(position, F.row_number().over(window)).where(F.col(position) <= n)
 

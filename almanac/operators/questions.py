@@ -78,9 +78,9 @@ def q_classify(questions: DataFrame) -> DataFrame:
     return q.withColumn("_verdict", chosen).select(*q.columns, "_verdict.tier", "_verdict.why")
 
 
-def q_year_resolve(latest_year: int | Column) -> Column:
-    """First year of the new text, else of the context, else the latest one."""
-    latest = F.lit(latest_year) if isinstance(latest_year, int) else latest_year
+def q_year_resolve(latest_year: int | Column | None) -> Column:
+    """First year of the new text, else of the context, else the latest one; null where an empty star has none."""
+    latest = latest_year if isinstance(latest_year, Column) else F.lit(latest_year)
     in_context = F.when(F.col("has_context"), F.get("all_years", F.lit(0)))
     return F.coalesce(F.get("years", F.lit(0)).cast("int"), in_context.cast("int"), latest.cast("int"))
 
@@ -125,6 +125,7 @@ def alias_hits(texts: DataFrame, key: str, text: str, aliases: DataFrame, small:
     equality join: the text is cut into its substrings of the lengths that
     aliases have, so no text is compared with every alias.
     """
+    aliases = aliases.where(F.col("alias").isNotNull())
     rows = aliases.select("alias", "name", "place").limit(small + 1).collect()
     low = F.lower(F.col(text))
     if not rows:

@@ -34,25 +34,27 @@ def log_enrich(logs: DataFrame, files: DataFrame, reports: DataFrame) -> DataFra
     return logs.join(names, "file_id", "left")
 
 
+def errors_numbered(logs: DataFrame, key: str = "file_id") -> DataFrame:
+    """Every message with its number in its file's log order; a hot file is dealt over many tasks."""
+    numbered = number_rows(logs, [key], [F.col("log_time"), F.col("id")], "n")
+    return numbered.select(key, "n", "error_message")
+
+
 def errors_concat(logs: DataFrame, key: str = "file_id", part_size: int = 1000) -> DataFrame:
-    """Messages per file joined by ``; `` in log order.
+    """One row per file: its messages joined by ``; `` in log order, however many there are.
 
-    A file normally fills one part. One with more than ``part_size`` messages
-    gets numbered parts, so no task has to hold all messages of a hot file.
+    The joined text is one cell, so it must fit in memory; ``errors_numbered`` has the same messages a row each.
+    Messages are first joined in parts of ``part_size``, so that no task sorts all messages of a file.
     """
-    numbered = number_rows(logs, [key], [F.col("log_time"), F.col("id")], "n")
-    part = F.floor((F.col("n") - 1) / part_size).cast("int")
+    part = F.floor((F.col("n") - 1) / part_size).cast("int").alias("part")
     ordered = F.array_sort(F.collect_list(F.struct("n", "error_message")))
-    return (
-        numbered.groupBy(key, part.alias("part"))
-        .agg(ordered.alias("_messages"))
-        .select(
-            key,
-            "part",
-            F.size("_messages").alias("n_errors"),
-            F.array_join(F.transform("_messages", lambda m: m["error_message"]), "; ").alias("errors"),
-        )
-    )
+    parts = errors_numbered(logs, key).groupBy(key, part).agg(ordered.alias("m"))
+    parts = parts.select(
+        key, F.struct("part", F.array_join(F.transform("m", lambda m: m["error_message"]), "; ").alias("text")).alias("p"),
+        F.size("m").alias("n"),
+    )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "; ")
+    return parts.groupBy(key).agg(F.sum("n").cast("int").alias("n_errors"), joined.alias("errors"))
 
 
 def run_funnel(files: DataFrame, logs: DataFrame, run_start: Column) -> DataFrame:

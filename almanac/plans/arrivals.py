@@ -126,6 +126,18 @@ def scan_bronze(t: Tables):
     return landing.scan_bronze(t.spark, _land_documents(t)).where(F.col("key").startswith("part-")).select("key", "length")
 
 
+@query(
+    "read_csv_quoted",
+    """SELECT doc_id, 'x "' || text || '", ' || chr(10) || 'z' AS cell FROM documents""",
+)
+def read_csv_quoted(t: Tables):
+    """Cells with quotes, commas and line breaks."""
+    path = shared_dir(t.spark, "csv")
+    cell = F.concat(F.lit('x "'), F.col("text"), F.lit('", \nz'))
+    t.raw("documents").select("doc_id", cell.alias("cell")).write.csv(path, header=True, quote='"', escape='"')
+    return landing.read_csv_infer(t.spark, path).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 @query(
     "read_csv_infer",
     "SELECT report_id, location_code, indicator_code, year, value FROM star",

@@ -97,11 +97,11 @@ def join_file_report(t: Tables):
     "left_join_report",
     """SELECT d.file_id, d.report_id, d.file_url, r.source_code, r.file_name AS report_name,
          d.pipeline_status IN ('pending', 'failed') AS can_delete
-       FROM op_data d LEFT JOIN (SELECT * FROM op_report WHERE report_url IS NOT NULL) r ON r.report_id = d.report_id""",
+       FROM op_data d LEFT JOIN op_report r ON r.report_id = d.report_id""",
     ["op_report", "op_data"],
 )
 def left_join_report(t: Tables):
-    return G.left_join_report(t.op_data, t.op_report.where(F.col("report_url").isNotNull()))
+    return G.left_join_report(t.op_data, t.op_report)
 
 
 @query("distinct_sources", "SELECT DISTINCT source_code FROM op_report", ["op_report"])
@@ -395,9 +395,18 @@ def log_enrich(t: Tables):
     return L.log_enrich(t.logs, t.op_data, t.op_report).select("id", "file_id", "step", "file_name")
 
 
+@query(
+    "errors_numbered",
+    """SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY log_time, id) AS n, error_message FROM logs""",
+    ["logs"],
+)
+def errors_numbered(t: Tables):
+    return L.errors_numbered(t.logs)
+
+
 @query(
     "errors_concat",
-    """SELECT file_id, CAST((n - 1) // 1000 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS n_errors,
+    """SELECT file_id, CAST(count(*) AS INTEGER) AS n_errors,
          string_agg(error_message, '; ' ORDER BY n) AS errors
        FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY log_time, id) AS n FROM logs) GROUP BY ALL""",
     ["logs"],
@@ -565,12 +574,14 @@ def json_field(t: Tables):
 
 @query(
     "map_lookup",
-    "SELECT ord, s.location_code, name FROM silver s LEFT JOIN dim_location l ON s.location_code = l.location_code AND region <> 'EUROPE'",
+    """SELECT ord, s.location_code, name FROM (SELECT ord, CASE WHEN ord % 10 = 0 THEN 'QQQ' ELSE location_code END AS location_code
+         FROM silver) s LEFT JOIN dim_location l ON s.location_code = l.location_code""",
     ["silver", "dim_location"],
 )
 def map_lookup(t: Tables):
-    known = t.dim_location.where(F.col("region") != "EUROPE").select("location_code", "name")
-    return t.silver.select("ord", "location_code").join(known, "location_code", "left")
+    code = F.when(F.col("ord") % 10 == 0, "QQQ").otherwise(F.col("location_code"))
+    known = t.dim_location.select("location_code", "name")
+    return t.silver.select("ord", code.alias("location_code")).join(known, "location_code", "left")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,13 +41,16 @@ def _local_base() -> str:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under ``spark.checkpoint.dir``.
 
-    The cluster names a folder every executor can reach. Only where the
-    setting is missing (tests, a laptop) is a local folder made instead.
+    The cluster names a folder every executor can reach. Without the setting
+    a local folder is made, but only in a session of one machine; anywhere
+    else executors would write to their own disks, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -136,9 +136,13 @@ def read_json_doc(objects: DataFrame, schema: str | T.DataType, content: str = "
     return objects.withColumn("doc", F.from_json(text, schema)).drop(content)
 
 
-def read_csv_infer(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header line; column types are inferred from the data."""
-    return spark.read.csv(path, header=True, inferSchema=True, multiLine=False)
+def read_csv_infer(spark: SparkSession, path: str, splittable: bool = False) -> DataFrame:
+    """CSV with a header line; column types are inferred from the data.
+
+    Quoted cells may hold quotes (doubled), commas and line breaks. ``splittable`` reads large files in pieces; it is
+    for files without line breaks in cells.
+    """
+    return spark.read.csv(path, header=True, inferSchema=True, quote='"', escape='"', multiLine=not splittable)
 
 
 XML_REMEDY = "Configure uma função de transformação manual no Painel de Controlo."  # fixed value

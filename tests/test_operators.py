@@ -331,3 +331,47 @@ def test_keys_are_not_shown(spark):
 
     df = spark.createDataFrame([(1, 2, "x", 3.0)], "indicator_sk int, report_id int, name string, value double")
     assert project_exclude_keys(df).columns == ["name", "value"]
+
+
+def test_positions_have_one_type_at_every_n(spark):
+    from almanac.operators.ordering import top_n_per_key
+
+    df = spark.range(3000).selectExpr("id % 2 AS k", "id AS v")
+    small, large = (top_n_per_key(df, ["k"], [F.col("v")], n, "n") for n in (1000, 1001))
+    assert small.dtypes == large.dtypes and large.count() - small.count() == 2
+
+
+def test_null_aliases_are_ignored_however_many_there_are(spark):
+    from almanac.operators.questions import alias_hits
+
+    texts = spark.createDataFrame([(1, "from Peru to Chile")], "q_id int, q string")
+    aliases = spark.createDataFrame([("peru", "Peru", 0), (None, "none", 1), ("chile", "Chile", 2)], "alias string, name string, place int")
+    few, many = (sorted(map(tuple, alias_hits(texts, "q_id", "q", aliases, small).collect())) for small in (1000, 0))
+    assert few == many and len(few) == 2
+
+
+def test_joined_errors_are_one_row_per_file(spark):
+    from almanac.operators.runlog import errors_concat
+
+    logs = spark.range(25).selectExpr("'f' AS file_id", "id", "id AS log_time", "concat('m', id) AS error_message")
+    got = [errors_concat(logs, part_size=n).collect() for n in (1000, 4)]
+    assert got[0] == got[1] and got[0][0].n_errors == 25 and got[0][0].errors.endswith("m23; m24")
+
+
+def test_an_empty_star_has_no_latest_year(spark):
+    from almanac.operators.questions import q_year_resolve
+
+    df = spark.createDataFrame([([], [], False)], "years array<string>, all_years array<string>, has_context boolean")
+    assert df.select(q_year_resolve(None).alias("y")).first().y is None
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Cluster.conf)
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster, "x")
