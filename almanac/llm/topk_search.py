@@ -13,6 +13,7 @@ from almanac.session import written
 
 PIVOTS = 256
 GROUPS = 64  # at most so many groups of queries: a vector is copied at most so often
+QUERIES = 1_024  # queries of a group, about, while there are fewer than GROUPS groups
 SLICE = 20_000  # vectors that one task compares with a group's queries, about
 _CELL = "struct<cell:int,distance:double>"
 
@@ -134,7 +135,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIV
     # cells with queries go into groups of neighbours: along the line through the first pivot's distances
     cells = sorted(reach, key=lambda c: float(((centre[c] - centre[0]) ** 2).sum()))
     group = np.full(len(centre), -1)
-    group[cells] = np.arange(len(cells)) * min(groups, len(cells)) // len(cells)
+    parts = min(groups, len(cells), math.ceil(sum(n for _, n in reach.values()) / QUERIES))
+    group[cells] = np.arange(len(cells)) * parts // len(cells)
     need = bounds(centre, group, np.array([reach.get(c, (0.0, 0))[0] for c in range(len(centre))]), nearest, k + 1)
     limits = spark.sparkContext.broadcast(need)  # groups x pivots numbers
 
