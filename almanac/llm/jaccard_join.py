@@ -13,8 +13,9 @@ shingles in common. All sets share one order of shingles: those that are frequen
 
 Lists aren't expanded into pairs while that can be avoided. In a few rounds every set is compared with one set of another
 component from one of its lists, chosen by an order that all lists share; a group of near copies becomes one component
-after comparisons in proportion to its size. Then every pair that is still in one list but in two components is compared,
-so no link is lost, whatever the rounds found.
+after comparisons in proportion to its size. Sets that are in fewer than l lists with sets of other components drop out
+after each round. Then every pair of two components that still has l lists in common is compared, so no link is lost,
+whatever the rounds found.
 """
 
 import gc
@@ -27,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from almanac.llm.common import utf8
 from almanac.session import shared_dir, written
@@ -36,9 +38,11 @@ PERCENT = 75
 FREQUENT = 200_000  # shingles that the order knows to be frequent; what it knows never changes results
 LARGEST_SUBSETS = 14  # the boundary is at most here: above, a set has thousands of subsets
 ROUNDS = 8
+PAIRS = 16  # where lists have so many pairs an entry at most, they are all looked at, and no further round is made
 FLUSH = 1_500_000  # shingles that are counted together in one task
 SALTS = 64  # a frequent shingle's list is dealt over so many tasks
 BITMAP = 1 << 22
+SKETCH = 1024  # bits of a set's sketch
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -129,6 +133,12 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit. Sketches differ in at most as many bits as sets in shingles."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def keys_of(shingles: np.ndarray, boundary: int, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Lists that a set is in: hash and whether it is a frequent shingle's. ``frequent`` is sorted."""
     m, out, hot = len(shingles), [], []
@@ -311,7 +321,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(a, h): the shingles of the sets in ``wanted`` (a, id), each read from one document."""
+    """(a, n, s, h): size, sketch and shingles of the sets in ``wanted`` (a, id), each read from one document."""
     spark = docs.sparkSession
     places = wanted.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("p")).distinct().toArrow()
     bits = np.zeros(BITMAP, bool)  # of fixed size; where it fills up it filters less and the join does the rest
@@ -323,30 +333,48 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
         p = place.to_numpy()
         return pa.array((shared.value[p >> 3] >> (7 - (p & 7)) & 1).astype(bool))
 
-    @F.arrow_udf("struct<a:bigint,h:array<bigint>>")
+    @F.arrow_udf("struct<a:bigint,s:array<bigint>,h:array<bigint>>")
     def sets_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler(size)
         for texts in batches:
-            rows = [{"a": _digest(s)[0], "h": s.view(np.int64)} for s in shingled(texts, shingler)]
-            yield pa.array(rows, pa.struct([("a", pa.int64()), ("h", pa.list_(pa.int64()))]))
+            rows = [{"a": _digest(s)[0], "s": sketch(s), "h": s.view(np.int64)} for s in shingled(texts, shingler)]
+            yield pa.array(rows, pa.struct([("a", pa.int64()), ("s", pa.list_(pa.int64())), ("h", pa.list_(pa.int64()))]))
 
     docs = docs.where("id is not null").where(maybe(F.pmod(F.xxhash64("id"), F.lit(BITMAP))))
     found = docs.join(wanted, "id").select("a", sets_of("text").alias("s"))
     # of rows that share an id the one with the wanted set counts
-    return found.where("a = s.a").select("a", F.col("s.h").alias("h")).dropDuplicates(["a"])
+    found = found.where("a = s.a").select("a", F.size("s.h").alias("n"), F.col("s.s").alias("s"), F.col("s.h").alias("h"))
+    return found.dropDuplicates(["a"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets link."""
+    """The pairs (u, v) whose sets link. Sketches part most of the others, so few pairs meet their shingles."""
+    differ = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (t, c) -> t + c)")
+    allowed = F.expr(f"un + vn - 2 * (({percent} * (un + vn) + {99 + percent}) div {100 + percent})")  # see required
+    brief = sets.select("a", "n", "s")
+    close = (
+        pairs.join(brief.selectExpr("a u", "n un", "s x"), "u")
+        .join(brief.selectExpr("a v", "n vn", "s y"), "v")
+        .where(differ <= allowed)
+        .select("u", "v")
+    )
+    close = written(close, "close")
     both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(sets.selectExpr("a u", "h x"), "u")
+        close.join(sets.selectExpr("a u", "h x"), "u")
         .join(sets.selectExpr("a v", "h y"), "v")
         .where(100 * both >= percent * (F.size("x") + F.size("y") - both))
         .select("u", "v")
     )
 
 
+def _hopeful(lists: DataFrame, percent: int) -> DataFrame:
+    """Entries of sets that are in as many lists as a link needs; the smaller of two linked sets may be of the least size."""
+    needed = F.expr(f"greatest(1, (({percent} * n + 99) div 100) div 20)")
+    own = F.count("*").over(Window.partitionBy("a"))  # a set has as many entries as its prefix is long, at most
+    return lists.withColumn("_own", own).where(F.col("_own") >= needed).drop("_own")
+
+
 def _compatible(percent: int) -> Callable[[str, str], object]:
     return lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -394,10 +422,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: s
     lists = written(lists, "entries")
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)  # the lists have them now
     _release(spark)
-    # the smaller of two linked sets may be a partner of the least size
-    shared_by_all = F.expr(f"greatest(1, (({percent} * n + 99) div 100) div 20)")
-    enough = lists.groupBy("a").count().join(sets.select("a", "n"), "a").where(F.col("count") >= shared_by_all)
-    lists = written(lists.join(enough.select("a", "n"), "a").select("key", "a", "n"), "lists")
+    lists = written(_hopeful(lists.join(sets.select("a", "n"), "a"), percent).select("key", "a", "n"), "lists")
     labels = written(_joined(docs, lists, sets, size, percent), "labels")
     ids = sets.join(labels, sets.a == labels.node, "left").select("a", F.coalesce("label", "a").alias("label"), "id")
     least = ids.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -423,22 +448,26 @@ def _joined(docs: DataFrame, lists: DataFrame, sets: DataFrame, size: int, perce
         order = F.struct(F.xxhash64("label", F.lit(turn)), F.xxhash64("a", F.lit(turn)), "label", "a", "n")
         chosen = now.groupBy("key").agg(F.min(order).alias("p"), F.max(order).alias("q")).where("p.label != q.label")
         brief = [F.struct(*(F.col(f"{x}.{f}") for f in ("label", "a", "n"))).alias(x) for x in "pq"]
-        lists = written(now.join(chosen.select("key", *brief), "key"), "open")
+        # all lists that two sets of different components share are still open, so a set in too few of them is done
+        lists = written(_hopeful(now.join(chosen.select("key", *brief), "key"), percent), "open")
         _release(spark)
         groups = lists.groupBy("key", "label").count().groupBy("key")
         pairs = groups.agg(F.sum("count").alias("all"), F.sum(F.col("count") ** 2).alias("own"))
         entries, left = pairs.agg(F.sum("all"), F.sum(F.col("all") ** 2 - F.col("own"))).first()
         if not entries:
             break
-        last = turn == ROUNDS or turn and left <= 4 * entries
+        last = turn == ROUNDS or turn and left <= PAIRS * entries
         if not last:
             other = F.when(F.col("label") != F.col("p.label"), F.col("p")).otherwise(F.col("q"))
-            pairs = lists.select("a", "n", other.alias("o")).where(fits("n", "o.n")).groupBy("a").agg(F.min("o").alias("o"))
-            pairs = pairs.select(F.col("a").alias("u"), F.col("o.a").alias("v"))
+            pairs = lists.select("a", "n", other.alias("o")).where(fits("n", "o.n")).groupBy("a", "o").count()
+            # of the sets that its lists chose, the one that most of them did
+            pairs = pairs.groupBy("a").agg(F.max(F.struct("count", "o")).alias("best"))
+            pairs = pairs.selectExpr("least(a, best.o.a) u", "greatest(a, best.o.a) v").distinct()
         else:
             ours = lists.selectExpr("key", "a u", "n un", "label ul")
             pairs = ours.join(lists.selectExpr("key", "a v", "n vn", "label vl"), "key")
-            pairs = pairs.where("ul < vl").where(fits("un", "vn")).select("u", "v").distinct()
+            pairs = pairs.where("ul < vl").where(fits("un", "vn")).groupBy("u", "v", F.least("un", "vn").alias("n")).count()
+            pairs = pairs.where("count >= greatest(1, n div 20)").select("u", "v")  # see least_shared
         links = written(_linked(pairs, shingles, percent), "links")
         _release(spark)
         if not links.isEmpty():
