@@ -39,7 +39,8 @@ FREQUENT = 200_000  # shingles that the order knows to be frequent; what it know
 LARGEST_SUBSETS = 14  # the boundary is at most here: above, a set has thousands of subsets
 ROUNDS = 8
 PAIRS = 16  # where lists have so many pairs an entry at most, they are all looked at, and no further round is made
-FLUSH = 1_500_000  # shingles that are counted together in one task
+FLUSH = 1_000_000  # shingles that are counted together in one task
+WORDS = 150_000  # words whose hashes a task remembers
 SALTS = 64  # a frequent shingle's list is dealt over so many tasks
 BITMAP = 1 << 22
 SKETCH = 1024  # bits of a set's sketch
@@ -106,7 +107,7 @@ class Shingler:
         self.size, self.places = size, _Places()
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.places) > 400_000:
+        if len(self.places) > WORDS:
             self.places = _Places()
         words = [utf8(t).lower().split() for t in texts]
         lengths = list(map(len, words))
@@ -230,7 +231,7 @@ def _listing(size: int, percent: int, boundary: int, shared):
                         keys.append(None)
                         hot.append(None)
                         continue
-                    if len(seen) > 200_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(d)
                     k, h = keys_of(s, boundary, frequent, percent)
@@ -333,12 +334,21 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
         p = place.to_numpy()
         return pa.array((shared.value[p >> 3] >> (7 - (p & 7)) & 1).astype(bool))
 
+    def lists_of(rows: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+    def packed(sets: list[np.ndarray]) -> pa.Array:
+        a = pa.array([_digest(s)[0] for s in sets], pa.int64())
+        return pa.StructArray.from_arrays([a, lists_of([sketch(s) for s in sets]), lists_of(sets)], ["a", "s", "h"])
+
     @F.arrow_udf("struct<a:bigint,s:array<bigint>,h:array<bigint>>")
     def sets_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler(size)
         for texts in batches:
-            rows = [{"a": _digest(s)[0], "s": sketch(s), "h": s.view(np.int64)} for s in shingled(texts, shingler)]
-            yield pa.array(rows, pa.struct([("a", pa.int64()), ("s", pa.list_(pa.int64())), ("h", pa.list_(pa.int64()))]))
+            parts = [packed(list(shingled(texts.slice(i, 500), shingler))) for i in range(0, len(texts), 500)]
+            yield pa.concat_arrays(parts) if parts else packed([])
 
     docs = docs.where("id is not null").where(maybe(F.pmod(F.xxhash64("id"), F.lit(BITMAP))))
     found = docs.join(wanted, "id").select("a", sets_of("text").alias("s"))
