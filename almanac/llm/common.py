@@ -2,6 +2,8 @@
 
 import math
 import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
 from types import ModuleType
 
 import pyarrow as pa
@@ -59,6 +61,18 @@ def hash_fraction(key: Column, wanted: int, there: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < math.ceil(share * (1 << 30))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """What is written inside sends texts to Python in batches of about ``size`` instead of 10,000 rows of any length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def worker_kept() -> dict:
     """What a Python worker keeps from one task to the next; empty in a new worker."""
     return sys.modules.setdefault("_almanac_worker", ModuleType("_almanac_worker")).__dict__.setdefault("kept", {})

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from almanac.llm.common import utf8
+from almanac.llm.common import small_batches, utf8
 from almanac.session import shared_dir, written
 
 SIZE = 5
@@ -404,7 +404,8 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: s
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     survey = docs.select("text").mapInArrow(_survey(size, percent), "kind int, key bigint, n bigint, cost bigint")
-    survey = written(survey.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost")), "survey")
+    with small_batches(spark):
+        survey = written(survey.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost")), "survey")
     top = survey.where("kind = 0").orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toArrow()
     frequent = np.sort(top["key"].to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
     small = {r["key"]: (r["n"], r["cost"]) for r in survey.where("kind = 1").collect()}  # one row for each small size
@@ -412,7 +413,8 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: s
     listing = _listing(size, percent, boundary_of(small, percent), shared)
     schema = f"id {kind}, n bigint, a bigint, b bigint, keys binary, hot binary"
     path = shared_dir(spark, "keys")
-    docs.mapInArrow(listing, schema).write.parquet(path)
+    with small_batches(spark):
+        docs.mapInArrow(listing, schema).write.parquet(path)
     keys = spark.read.schema(schema).parquet(path)
     rows = written(keys.select("id", "n", "a", "b"), "sets")
     sets = rows.where("n > 0").groupBy("a").agg(
@@ -448,8 +450,9 @@ def _joined(docs: DataFrame, lists: DataFrame, sets: DataFrame, size: int, perce
     """(node, label) for every set that links with another one."""
     fits = _compatible(percent)
     wanted = lists.select("a").distinct().join(sets.where("id is not null").select("a", "id"), "a")
-    shingles = written(_sets(docs, size, wanted), "shingles")
     spark = docs.sparkSession
+    with small_batches(spark):
+        shingles = written(_sets(docs, size, wanted), "shingles")
     labels = spark.createDataFrame([], "node bigint, label bigint")
     for turn in range(ROUNDS + 1):
         now = lists.select("key", "a", "n").join(labels.withColumnRenamed("node", "a"), "a", "left")
