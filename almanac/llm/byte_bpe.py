@@ -5,7 +5,7 @@ import gc
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +216,9 @@ def decode(ids: Column, spark: SparkSession, rank_file: str) -> Column:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bytes_of = {i: t for t, i in read_ranks(shared.value).items()}.__getitem__
         for rows in batches:
-            yield pa.array([None if r is None else b"".join(map(bytes_of, r)) for r in values(rows)], pa.binary())
+            ends, there = rows.offsets.to_numpy().tolist(), rows.is_valid().to_pylist()
+            flat = rows.values.to_numpy(zero_copy_only=False)
+            texts = (b"".join(map(bytes_of, flat[i:j].tolist())) for i, j in pairwise(ends))
+            yield pa.array([t if known else None for t, known in zip(texts, there, strict=True)], pa.binary())
 
     return decoded(ids)
