@@ -20,7 +20,7 @@ from almanac.llm.common import values, worker_kept
 _BLANK = "\t-\r \x85\xa0  -     　"
 #: A text may be cut before white space that follows something else: no pre-token reaches across.
 CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
-KEPT = 600_000  # chunks that a Python worker remembers
+KEPT = 400_000  # chunks that a Python worker remembers
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 
