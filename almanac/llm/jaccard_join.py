@@ -321,18 +321,27 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(a, n, s, h): size, sketch and shingles of the sets in ``wanted`` (a, id), each read from one document."""
-    spark = docs.sparkSession
-    places = wanted.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("p")).distinct().toArrow()
+def _filter_of(keys: DataFrame, name: str):
+    """A broadcast bitmap of the places that the hashes of column ``name`` fall on, eight to a byte."""
+    places = keys.select(F.pmod(F.xxhash64(name), F.lit(BITMAP)).alias("p")).distinct().toArrow()
     bits = np.zeros(BITMAP, bool)  # of fixed size; where it fills up it filters less and the join does the rest
     bits[places["p"].to_numpy()] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
+    return keys.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
+def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """(a, n, s, h): size, sketch and shingles of the sets in ``wanted`` (a, id), each read from one document.
+
+    The document is found by its id. Sets whose rows all have no id are found by their digest among the rows without.
+    """
+
+    def maybe(shared):
+        @F.arrow_udf("boolean")
+        def on(place: pa.Array) -> pa.Array:
+            p = place.to_numpy()
+            return pa.array((shared.value[p >> 3] >> (7 - (p & 7)) & 1).astype(bool))
 
-    @F.arrow_udf("boolean")
-    def maybe(place: pa.Array) -> pa.Array:
-        p = place.to_numpy()
-        return pa.array((shared.value[p >> 3] >> (7 - (p & 7)) & 1).astype(bool))
+        return on
 
     def lists_of(rows: list[np.ndarray]) -> pa.Array:
         ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
@@ -350,11 +359,20 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
             parts = [packed(list(shingled(texts.slice(i, 500), shingler))) for i in range(0, len(texts), 500)]
             yield pa.concat_arrays(parts) if parts else packed([])
 
-    docs = docs.where("id is not null").where(maybe(F.pmod(F.xxhash64("id"), F.lit(BITMAP))))
-    found = docs.join(wanted, "id").select("a", sets_of("text").alias("s"))
+    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    named = wanted.where("id is not null")
+    there = docs.where("id is not null").where(maybe(_filter_of(named, "id"))(place))
+    found = there.join(named, "id").select("a", sets_of("text").alias("s"))
     # of rows that share an id the one with the wanted set counts
-    found = found.where("a = s.a").select("a", F.size("s.h").alias("n"), F.col("s.s").alias("s"), F.col("s.h").alias("h"))
-    return found.dropDuplicates(["a"])
+    found = found.where("a = s.a").select("a", "s.s", "s.h")
+    nameless = wanted.where("id is null").select("a")
+    if not nameless.isEmpty():
+        digests = docs.where("id is null").select(_set_id(size)(F.col("text")).alias("a"), "text").where("a is not null")
+        digests = digests.where(maybe(_filter_of(nameless, "a"))(F.pmod(F.xxhash64("a"), F.lit(BITMAP))))
+        # equal sets have the same shingles, so one text of each is enough; only texts of wanted sets travel
+        texts = digests.join(nameless, "a").groupBy("a").agg(F.min("text").alias("text"))
+        found = found.union(texts.select("a", sets_of("text").alias("s")).select("a", "s.s", "s.h"))
+    return found.select("a", F.size("h").alias("n"), "s", "h").dropDuplicates(["a"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -449,7 +467,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: s
 def _joined(docs: DataFrame, lists: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, label) for every set that links with another one."""
     fits = _compatible(percent)
-    wanted = lists.select("a").distinct().join(sets.where("id is not null").select("a", "id"), "a")
+    wanted = lists.select("a").distinct().join(sets.select("a", "id"), "a")
     spark = docs.sparkSession
     with small_batches(spark):
         shingles = written(_sets(docs, size, wanted), "shingles")

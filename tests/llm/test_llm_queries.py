@@ -240,6 +240,28 @@ def test_join_of_odd_rows(spark, odd, none):
     assert jaccard_join.classes(none).count() == 0 and jaccard_join.keep_one(none).count() == 0
 
 
+def test_join_of_near_copies_without_ids(spark):
+    def text(start, swapped=()):
+        return " ".join("new" if i in swapped else f"w{start + i}" for i in range(60))
+
+    docs = [(None, text(0)), (None, text(0, [1])), (None, text(0, [1])), (None, text(1000))]  # near copies, none with an id
+    docs += [(7, text(2000)), (None, text(2000, [20])), (5, text(2000, [20, 40]))]  # 5 and 7 link only with the row between them
+    docs += [(None, f"{w} b c d e f g h i") for w in ("a", "a", "z")]  # small sets
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    want = brute_components(enumerate(t for _, t in docs))
+    groups = {}
+    for n, (i, t) in enumerate(docs):
+        groups.setdefault(want[n][1], set()).add((i, t))
+    assert max(map(len, groups.values())) == 3
+    found = jaccard_join.classes(df).collect()
+    texts = {}
+    for r, (i, t) in zip(sorted(found, key=lambda r: (r.set_id, r.id or 0)), sorted(docs, key=lambda d: (jaccard_join._digest(jaccard_join.Shingler()([d[1]])[0])[0], d[0] or 0)), strict=True):
+        texts.setdefault(r.label, set()).add((i, t))
+    assert sorted(map(sorted, ([str(x) for x in g] for g in texts.values()))) == sorted(map(sorted, ([str(x) for x in g] for g in groups.values())))
+    assert {r.component_id for r in found if r.id} == {5}
+    assert jaccard_join.keep_one(df).count() == len(groups)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
