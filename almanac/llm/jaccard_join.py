@@ -514,7 +514,8 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     group = F.when(F.col("n_shingles") > 0, F.col("label"))
     rows = docs.withColumn("_own", F.struct(*docs.columns)).select("_own")
     first = found.where("n_shingles > 0").groupBy("label").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
-    repeated = found.where("n_shingles > 0").groupBy("label", "id").count().where("count > 1 or id is null").limit(1).count()
+    # over all rows, those of other components and those without words too: an id that goes must not take another text with it
+    repeated = found.groupBy("id").count().where("count > 1 or id is null").limit(1).count()
     if not repeated:  # ids tell rows apart: the rows to go are known by id
         gone = found.where(group.isNotNull() & (F.col("id") != F.col("component_id"))).select("id").distinct()
         return rows.join(gone, F.col("_own.doc_id") == F.col("id"), "left_anti").select("_own.*")

@@ -262,6 +262,12 @@ def test_join_of_near_copies_without_ids(spark):
     assert jaccard_join.keep_one(df).count() == len(groups)
 
 
+def test_one_id_with_two_texts_keeps_both_components(spark):
+    docs = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "only here and in no other row at all"), (3, "h i j k l m"), (4, "h i j k l m"), (4, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, docs[0][1]), (2, docs[2][1]), (3, docs[3][1]), (4, "")]
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
