@@ -104,8 +104,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
-    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels))
-    return scored.select("doc_id", "quality.*", quality.selected().alias("keep"))
+    model = quality.train(docs, labels)
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "quality.*", quality.selected(model.cut if model else 0.5).alias("keep"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,6 +276,16 @@ def test_quality_on_held_out_rows(spark):
     assert test[test.grade == 2].keep.mean() > 0.97 and test[test.grade == 1].keep.mean() < 0.5
 
 
+def test_toxic_rows_are_sampled_and_removed(spark):
+    assert quality.quotas({0: 400, 1: 9_000, 2: 90_000}, 12_000) == {0: 400, 1: 5_800, 2: 5_800}
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels.where("doc_id % 3 > 0"))
+    test = quality.score(docs.where("doc_id % 3 = 0"), model).join(quality.grades(labels), "doc_id").select("grade", quality.selected(model.cut).alias("keep")).toPandas()
+    kept = [test[test.grade == g].keep.mean() for g in range(3)]
+    assert kept[2] > 0.97 and kept[1] < 0.05 and kept[0] < 0.22, kept
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (8, 0, 0), (8, 1, 1), (4, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert rows(quality.grades(labels)) == {3: (3, 2), 8: (8, 0)}
