@@ -180,6 +180,24 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_classes_decide_inside_articles_too(spark):
+    def page(i):
+        return f'<body class="has-sidebar"><div class=x>Hint</div><article class="comment-open"><p>Told {i} and more of it here</p><p>Join us</p></article><div class=more><p>Outside {i}</p></div></body>'
+
+    data = [(i, f"http://a/{i}", page(i)) for i in range(6)]
+    # five copies of a page are one page: no template
+    data += [(10 + i, f"http://b/{i}", "<body><div class=z><p>A whole text without article</p></div></body>") for i in range(5)]
+    # near copies: most of the article is on all pages and stays
+    data += [(20 + i, f"http://c/{i}", f"<article><p>A long passage that all of them have</p><p>number {i}</p></article>") for i in range(5)]
+    # blocks in another order on another page: no valid class
+    data += [(30 + i, f"http://d/{i}", f"<body><p>{('one', 'two')[i % 2]}</p><p>{('two', 'one')[i % 2]}</p><p>x {i}</p></body>") for i in range(6)]
+    got = rows(html_extract.extract_text(spark.createDataFrame(data, "page_id int, url string, html string")), "page_id")
+    assert [got[i].text for i in range(6)] == [f"Told {i} and more of it here\nOutside {i}" for i in range(6)]
+    assert [got[10 + i].text for i in range(5)] == ["A whole text without article"] * 5
+    assert [got[20 + i].text for i in range(5)] == [f"A long passage that all of them have\nnumber {i}" for i in range(5)]
+    assert [got[30 + i].text for i in range(2)] == ["one\ntwo\nx 0", "two\none\nx 1"]
+
+
 def brute_components(docs):
     sets = {}
     for i, text in docs:
