@@ -198,6 +198,15 @@ def test_html_classes_decide_inside_articles_too(spark):
     assert [got[30 + i].text for i in range(2)] == ["one\ntwo\nx 0", "two\none\nx 1"]
 
 
+def test_html_copies_make_no_template_and_names_in_parts_keep_the_article(spark):
+    whole = "<body><div class=z><p>A text without article</p></div></body>"
+    data = [(i, f"http://b/{i}", whole) for i in range(7)]  # one page, however often it stands on the host
+    data += [(10, "http://e/", '<body class="has-sidebar no-comments"><div class="with-menu"><article class="comment-open"><p>Told</p></article></div></body>')]
+    data += [(11, "http://f/", '<body class="has-sidebar"><div class="top-banner">ad</div><p>Told</p></body>')]
+    got = rows(html_extract.extract_text(spark.createDataFrame(data, "page_id int, url string, html string")), "page_id")
+    assert [got[i].text for i in range(7)] == ["A text without article"] * 7 and [got[i].text for i in (10, 11)] == ["Told", "Told"]
+
+
 def brute_components(docs):
     sets = {}
     for i, text in docs:
