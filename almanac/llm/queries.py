@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import byte_bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, quality, token_store, topk_search, url_filter
+from almanac.llm import byte_bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, quality, token_store, topk_search, url_filter, whitening
 from almanac.llm.common import tables
 
 # fixed values of the query's contract
@@ -114,11 +114,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.fixed_point(tables(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = whitening.whitened_components(vectors)
+    return found.select(F.col("id").alias("vec_id"), *found.columns[1:])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_decontaminate, op3_topk_search, op4_license_scan, op5_byte_bpe, op6_token_store, op7_html_extract,
-        op8_jaccard_join, op9_quality, op10_language_id,
+        op8_jaccard_join, op9_quality, op10_language_id, op13_whitening,
     )
 }
 
