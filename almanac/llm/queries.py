@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import byte_bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, quality, token_store, topk_search, url_filter, whitening
+from almanac.llm import byte_bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, quality, simhash, token_store, topk_search, url_filter, whitening
 from almanac.llm.common import tables
 
 # fixed values of the query's contract
@@ -114,6 +114,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(tables(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whitening.fixed_point(tables(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     found = whitening.whitened_components(vectors)
@@ -124,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_decontaminate, op3_topk_search, op4_license_scan, op5_byte_bpe, op6_token_store, op7_html_extract,
-        op8_jaccard_join, op9_quality, op10_language_id, op13_whitening,
+        op8_jaccard_join, op9_quality, op10_language_id, op11_simhash, op13_whitening,
     )
 }
 
