@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import byte_bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, quality, simhash, token_store, topk_search, url_filter, whitening
+from almanac.llm import byte_bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, prefix_trie, quality, simhash, token_store, topk_search, url_filter, whitening
 from almanac.llm.common import tables
+from almanac.session import written
 
 # fixed values of the query's contract
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -119,6 +120,20 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """(conv_id, path): the first h turns of conversation c - c % 100, then c's own turns after its first h."""
+    own = written(prefix_trie.sequences(turns), "sequences")
+    heads = own.where("conv_id % 100 = 0").select(F.col("conv_id").alias("_base"), F.slice("tokens", 1, 5).alias("_head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    joined = own.join(heads, F.col("conv_id") - F.col("conv_id") % 100 == F.col("_base"), "left")
+    head = F.slice(F.coalesce("_head", F.array().cast("array<string>")), F.lit(1), h)
+    return joined.select("conv_id", prefix_trie.path_of(F.concat(head, F.slice("tokens", h + 1, F.size("tokens")))).alias("path"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(rebuilt(tables(spark, sf_dir, "conversations")))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whitening.fixed_point(tables(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     found = whitening.whitened_components(vectors)
@@ -129,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_decontaminate, op3_topk_search, op4_license_scan, op5_byte_bpe, op6_token_store, op7_html_extract,
-        op8_jaccard_join, op9_quality, op10_language_id, op11_simhash, op13_whitening,
+        op8_jaccard_join, op9_quality, op10_language_id, op11_simhash, op12_prefix_trie, op13_whitening,
     )
 }
 
@@ -180,4 +195,29 @@ s AS (
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op12_prefix_trie": """
+WITH bytes AS (
+  SELECT c, CAST(list_reduce(
+    list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST(c AS VARCHAR), i, 1)) AS UBIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda j: CAST(0 AS UBIGINT))),
+      lambda r, z: xor(r >> 1, 3988292384 * (r & 1)) + z)) AS UBIGINT) AS crc
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)),
+heads AS (SELECT c, CAST(xor(crc, CAST(4294967295 AS UBIGINT)) % 6 AS BIGINT) AS h FROM bytes),
+own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+built AS (
+  SELECT own.c, list_concat(coalesce(base.w[1:h], []), own.w[h + 1:]) AS w
+  FROM own JOIN heads USING (c) LEFT JOIN own base ON base.c = own.c - own.c % 100),
+places AS (SELECT c, d, w[1:d] AS p, len(w) = d AS last FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends,
+         (count(*) - 1) * (CASE WHEN d = 0 THEN 0 ELSE length(p[d].t) END) AS own
+  FROM places GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (p, d)),
+up AS (SELECT p[1:a] AS p, a AS d, own, n_children FROM (SELECT p, own, n_children, unnest(range(0, d + 1)) AS a FROM full_nodes)),
+below AS (SELECT p, d, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM up GROUP BY p, d)
+SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256
+FROM full_nodes x JOIN below USING (p, d) LEFT JOIN full_nodes y ON y.d = x.d - 1 AND y.p = x.p[1:x.d - 1]""",
 }
