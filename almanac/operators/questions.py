@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import wordlists as W
-from almanac.functions.fuzzy import best_names
+from almanac.functions.fuzzy import NameIndex
 from almanac.operators.blocks import block_pairs
 from almanac.session import cpu_slots, written
 
@@ -174,40 +174,45 @@ def fuzzy_indicator_join(
     """The most similar name per distinct text, if similar enough.
 
     ``texts`` has ``text``; ``names`` has ``name, place`` (both text) and the
-    smaller place wins among equals. Distinct texts are scored once. A long name list meets
-    the texts block by block.
+    smaller place wins among equals. Distinct texts are compared once, in pieces, with an index of the names:
+    a pair is scored only if it shares the characters and pairs of characters that the threshold asks for.
+    A long name list meets the texts block by block.
     """
+    if not 0 < threshold <= 100:
+        raise ValueError("a threshold lies above 0 and at most at 100")
     spark = texts.sparkSession
-    distinct = texts.select("text").distinct().repartition(cpu_slots(spark), "text")
-    listed = names.select("name", "place").limit(small + 1).collect()
+    distinct = texts.select("text").where(F.col("text").isNotNull()).distinct().repartition(cpu_slots(spark), "text")
+    first = names.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("place").alias("place"))
+    listed = first.limit(small + 1).collect()
 
-    def score(found: pd.Series, ordered: list[tuple[str, str]]) -> pd.DataFrame:
-        only = [n for _, n in ordered]
-        best, at = best_names(list(found), only, threshold)
-        keep = np.flatnonzero(best >= threshold)
+    def score(found: pd.Series, ordered: list[tuple[str, str]], index: NameIndex) -> pd.DataFrame:
+        best, at = index.best(found.tolist())
+        keep = np.flatnonzero(at >= 0)
         return pd.DataFrame(
             {
                 "text": pd.Series([found.iloc[i] for i in keep], dtype=object),
                 "score": best[keep],
                 "place": pd.Series([ordered[at[i]][0] for i in keep], dtype=object),
-                "name": pd.Series([only[at[i]] for i in keep], dtype=object),
+                "name": pd.Series([ordered[at[i]][1] for i in keep], dtype=object),
             }
         )
 
     if len(listed) <= small:
-        ordered = sorted((r["place"], r["name"]) for r in listed)
+        ordered = sorted((r["place"] or "", r["name"]) for r in listed)
 
         def scan(batches):
+            index = NameIndex([n for _, n in ordered], threshold)
             for batch in batches:
-                yield score(batch["text"], ordered)
+                yield score(batch["text"], ordered, index)
 
         matches = distinct.mapInPandas(scan, _MATCH)
     else:
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return score(left["text"], sorted(zip(right["place"], right["name"])))
+            ordered = sorted(zip(right["place"].fillna(""), right["name"]))
+            return score(left["text"], ordered, NameIndex([n for _, n in ordered], threshold))
 
-        matches = block_pairs(distinct, names.select("name", "place"), "text", "name", 50_000, small, meet, _MATCH)
+        matches = block_pairs(distinct, first, "text", "name", 50_000, small, meet, _MATCH)
     best = F.min(F.struct((-F.col("score")).alias("s"), "place", "name")).alias("b")
     return matches.groupBy("text").agg(best).select(
         "text", F.col("b.name").alias("name"), (-F.col("b.s")).alias("score")

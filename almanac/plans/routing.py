@@ -183,12 +183,73 @@ def q_indicator(t: Tables):
     return Q.q_indicator(t.questions, _names(t)).select("q_id", "indicator_name")
 
 
-@query("fuzzy_indicator_join")
+# Names with letters lost, moved in or reversed; the same text in both dialects.
+_WORN = """CASE WHEN o_orderkey % 8 = 7 THEN reverse(lower(o_orderpriority))
+  WHEN o_orderkey % 2 = 0 THEN substr(lower(o_orderpriority), 1, CAST(o_orderkey % 8 AS INT) + 1) || substr(lower(o_orderpriority), CAST(o_orderkey % 8 AS INT) + 3)
+  ELSE substr(lower(o_orderpriority), 1, 3) || 'x' || substr(lower(o_orderpriority), 4, CAST(o_orderkey % 8 AS INT) + 1)
+    || substr(lower(o_orderpriority), CAST(o_orderkey % 8 AS INT) + 6) END"""
+# A third of the texts is in capitals, where only codes can be similar.
+_WORN_TEXT = f"""CASE WHEN o_orderkey % 3 = 0 THEN upper('valor de ' || {_WORN}) ELSE 'Valor de ' || {_WORN} END
+  || ' em ' || CAST(year(o_orderdate) AS STRING)"""
+
+
+def _similar_sql(pairs: str, name: str) -> dict[str, str]:
+    """CTEs that score ``pairs`` (text, name, place) by the definition and keep the best name of each text from 72."""
+    return {
+        f"{name}_sides": f"""SELECT *, name AS s, text AS l FROM ({pairs}) WHERE length(name) <= length(text)
+            UNION ALL SELECT *, text AS s, name AS l FROM ({pairs}) WHERE length(text) <= length(name)""",
+        f"{name}_windows": f"""SELECT text, name, place, s, CAST(length(s) AS BIGINT) AS m, (CAST(1 AS BIGINT) << length(s)) - 1 AS all_bits,
+            substr(l, greatest(b, 1), least(b + length(s), length(l) + 1) - greatest(b, 1)) AS w
+            FROM (SELECT *, unnest(range(2 - length(s), length(l) + 1)) AS b FROM {name}_sides)""",
+        f"{name}_scored": f"""SELECT text, name, place, max(200.0 * (m - bit_count(list_reduce(list_prepend(all_bits, list_transform(range(1, length(w) + 1),
+              lambda i: CAST(list_sum(list_transform(range(m), lambda j: CASE WHEN substr(s, j + 1, 1) = substr(w, i, 1) THEN CAST(1 AS BIGINT) << j ELSE 0 END)) AS BIGINT))),
+              lambda state, k: ((state + (state & k)) | (state - (state & k))) & all_bits))) / (m + length(w))) AS score
+            FROM {name}_windows GROUP BY ALL""",
+        name: f"""SELECT text, name, place, score FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, place, name) AS n
+            FROM {name}_scored WHERE score >= 72) WHERE n = 1""",
+    }
+
+
+_CODED = {
+    "coded": "SELECT indicator_code, min(indicator_name) AS indicator_name FROM dim_indicator GROUP BY 1",
+    "worn": f"SELECT DISTINCT {_WORN_TEXT.replace('STRING', 'VARCHAR')} AS text FROM orders",
+    **_similar_sql("SELECT text, indicator_name AS name, indicator_code AS place FROM worn, coded", "by_name"),
+}
+
+
+def _worn(t: Tables):
+    return t.raw("orders").select("o_orderkey", F.expr(_WORN_TEXT).alias("text"))
+
+
+@query("fuzzy_indicator_join", "SELECT text, name, round(score, 4) AS score FROM by_name", ["dim_indicator"], _CODED)
 def fuzzy_indicator_join(t: Tables):
-    """Names with a letter lost in the question."""
-    worn = t.questions.select(F.regexp_replace("question", "(urge|medi|spec)", "$1x").alias("text"))
+    """Names with letters lost or moved in, some of them too far from any name."""
     names = _names(t).select(F.col("indicator_name").alias("name"), F.col("indicator_code").alias("place"))
-    return Q.fuzzy_indicator_join(worn, names).select("text", "name", F.round("score", 4).alias("score"))
+    return Q.fuzzy_indicator_join(_worn(t), names).select("text", "name", F.round("score", 4).alias("score"))
+
+
+@query(
+    "q_indicator_worn",
+    f"""SELECT o_orderkey AS q_id, coalesce(x.name, c.indicator_name) AS indicator_name, coalesce(f.indicator_code, y.place) AS indicator_code
+        FROM (SELECT o_orderkey, {_WORN_TEXT.replace('STRING', 'VARCHAR')} AS text FROM orders) o
+        LEFT JOIN by_name x ON x.text = o.text
+        LEFT JOIN (SELECT indicator_name, min(indicator_code) AS indicator_code FROM coded GROUP BY 1) f ON f.indicator_name = x.name
+        LEFT JOIN by_code y ON y.text = upper(o.text) AND x.name IS NULL
+        LEFT JOIN coded c ON c.indicator_code = y.place""",
+    ["dim_indicator"],
+    {
+        **_CODED,
+        **_similar_sql(
+            "SELECT DISTINCT upper(text) AS text, indicator_code AS name, indicator_code AS place FROM worn, coded "
+            "WHERE text NOT IN (SELECT text FROM by_name)",
+            "by_code",
+        ),
+    },
+)
+def q_indicator_worn(t: Tables):
+    """Near misses of names, then of codes, for every order."""
+    asked = _worn(t).select(F.col("o_orderkey").alias("q_id"), F.col("text").alias("question"))
+    return Q.q_indicator(asked, _names(t)).select("q_id", "indicator_name", "indicator_code")
 
 
 @query(

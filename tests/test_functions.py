@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from almanac.functions import casts, text as X
-from almanac.functions.fuzzy import best_names, name_scores, partial_ratio
+from almanac.functions.fuzzy import NameIndex, partial_ratio
 from almanac.functions.splitting import split_text
 from almanac.functions.vectors import cosine_distance
 
@@ -99,22 +99,28 @@ def test_similarity_by_hand():
     assert partial_ratio("abc", "xyz") == 0.0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abcd e", min_size=1, max_size=12), st.lists(st.text(alphabet="abcd e", max_size=30), min_size=1, max_size=5))
-def test_batch_scores_equal_the_definition(name, texts):
-    scores = name_scores(name, texts, 72.0)
-    for s, t in zip(scores, texts):
-        want = partial_ratio(name, t)
-        assert s == pytest.approx(want) if want >= 72.0 else s < 72.0
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.text(alphabet="abcd e", max_size=20), min_size=1, max_size=6),
+    st.lists(st.text(alphabet="abcd e", max_size=70), min_size=1, max_size=6),
+    st.sampled_from([30.0, 50.0, 72.0, 90.0, 100.0]),
+)
+def test_name_index_equals_the_definition(names, texts, threshold):
+    best, place = NameIndex(names, threshold).best(texts)
+    for t, s, p in zip(texts, best, place):
+        want = max(((partial_ratio(n, t), -i) for i, n in enumerate(names) if n and t), default=(0.0, 0))
+        assert (s, -p) == (pytest.approx(want[0]), want[1]) if want[0] >= threshold else (s, p) == (0, -1)
 
 
-def test_long_names_are_scored_too():
+def test_pairs_that_share_too_little_are_not_scored():
+    index = NameIndex(["press freedom", "rule of law", "zz top and more"], 72.0)
+    best, place = index.best(["press freedom in 2001", "zzzz" * 50, "qqq"])
+    assert list(place) == [0, -1, -1] and index.scored <= 3
+
+
+def test_long_names_and_texts_are_scored_too():
     rng = random.Random(1)
     name = "".join(rng.choice("abcdefg ") for _ in range(90))
     worn = "say " + name[:40] + name[45:] + " now"
-    assert name_scores(name, [worn], 72.0)[0] == pytest.approx(partial_ratio(name, worn))
-
-
-def test_first_name_wins_a_tie():
-    best, place = best_names(["gdp per head", "nothing"], ["per", "gdp"], 72.0)
-    assert list(place) == [0, -1] and best[0] == 100.0 and np.all(best[1] < 72)
+    best, _ = NameIndex([name], 72.0).best([worn, name[5:80], "x" * 100_000 + worn, worn + "y" * 19_000])
+    assert best[0] == pytest.approx(partial_ratio(name, worn)) and best[1] == 100.0 and best[2] == best[3] == best[0]

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.functions import wordlists as W
+from almanac.functions.fuzzy import partial_ratio
 from almanac.operators import documents as D, ordering as O, quality as Q, questions as QU, registry as G, reshape as R
 from almanac.operators import vectors as V, warehouse as WH
 from almanac.operators.grid import header_promote
@@ -292,6 +293,33 @@ def test_indicator_match_paths_agree(spark):
     assert one == two == [("press freedom in 2001", "press freedom"), ("what about the rul of law", "rule of law")]
 
 
+@pytest.mark.parametrize("threshold", [72.0, 45.0, 100.0])
+def test_indicator_match_equals_all_pairs(spark, threshold):
+    """Long and short texts and names, of every length at which single characters decide, worn in many ways."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcde fé") for _ in range(n))
+    names = list({word(n) for n in [1, 2, 3, 4, 4, 5, 7, 8, 9, 16, 17, 30, 33, 70]})
+    texts = {"", "a", "abcd", *names, *(word(rng.randrange(1, 60)) for _ in range(30))}
+    for name in names:
+        for _ in range(4):
+            worn = [c for c in name if rng.random() > 0.2]
+            for _ in range(rng.randrange(4)):
+                worn.insert(rng.randrange(len(worn) + 1), rng.choice("xyz"))
+            texts.add(word(rng.randrange(90)) + "".join(worn) + word(rng.randrange(90)))
+    listed = [(n, f"{i:02d}") for i, n in enumerate(names)]
+    got = QU.fuzzy_indicator_join(
+        spark.createDataFrame([(t,) for t in texts] + [(None,), ("a",)], "text string"),
+        spark.createDataFrame([*listed, ("", "99"), (None, "98"), (names[0], "97")], "name string, place string"), threshold,
+    )
+    want = {}
+    for t in texts - {""}:
+        s, place, name = min((-partial_ratio(n, t), p, n) for n, p in listed)
+        if -s >= threshold:
+            want[t] = (name, round(-s, 6))
+    found = [(r["text"], (r["name"], round(r["score"], 6))) for r in got.collect()]
+    assert len(found) == len(want) and dict(found) == want
+
+
 def test_codes_are_tried_in_upper_case(spark):
     inds = spark.createDataFrame([("GDPPC", "income of persons"), ("LAW", "justice")], "indicator_code string, indicator_name string")
     df = spark.createDataFrame([(1, "valor de gdppc em 2001"), (2, "xyz?")], "q_id int, question string")
