@@ -7,16 +7,16 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from almanac.operators import runlog as L, warehouse as W
 from almanac.plans import layouts
 from almanac.plans.catalog import query
 from almanac.plans.conform import FILE_SQL
-from almanac.plans.fixtures import Tables, STATUSES, pick
+from almanac.plans.fixtures import Tables, STATUSES, idiv, pick
 from almanac.plans.ops import _FUNNEL
-from almanac.session import shared_dir
-from almanac.sources import landing, silver_store, workbook
+from almanac.session import shared_dir, written
+from almanac.sources import landing, reading, silver_store, workbook
 from almanac.streaming import incremental as S
 
 
@@ -159,7 +159,9 @@ def read_xml_rows(t: Tables):
     path = shared_dir(t.spark, "xml")
     columns = ["report_id", "location_code", "indicator_code", "year", "value"]
     t.star.select(*columns).write.format("xml").option("rowTag", "row").save(path)
-    return landing.read_xml_rows(t.spark, path).select(*columns)
+    broken = t.op_data.select(F.concat(F.lit("<ROWS><row><report_id>"), "report_id", F.lit("</report_id><row></ROWS>")).alias("value"))
+    broken.write.mode("append").text(path)
+    return landing.read_xml_rows(t.spark, path).where("error is null").select(*columns)
 
 
 def _book(cells: pd.DataFrame) -> bytes:
@@ -208,13 +210,75 @@ def _book(cells: pd.DataFrame) -> bytes:
     },
 )
 def read_workbook_grid(t: Tables):
-    """Workbooks written from the facts, read back as cells."""
+    """Workbooks written from the facts, read back as cells; beside each stands one of which the second half is missing."""
+    books = written(_books(t), "books")
+    halves = books.select((-F.col("file_id")).alias("file_id"), _half("content").alias("content"))
+    return workbook.read_workbook_grid(books.union(halves))
 
+
+def _books(t: Tables) -> DataFrame:
     def make(cells: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"file_id": [cells["file_id"].iloc[0]], "content": [_book(cells)]})
 
-    books = layouts.offset_header(t).groupBy("file_id").applyInPandas(make, "file_id int, content binary")
-    return workbook.read_workbook_grid(books)
+    return layouts.offset_header(t).groupBy("file_id").applyInPandas(make, "file_id int, content binary")
+
+
+def _half(content: str) -> Column:
+    return F.substring(F.col(content), F.lit(1), (F.length(content) / 2).cast("int"))
+
+
+def _landed(t: Tables) -> DataFrame:
+    """An object for each file with rows, of four formats by its number; a third is cut in half, every seventh is of no known format."""
+    fid = F.col("file_id")
+    listed = F.collect_list(F.struct("location_code", "indicator_code", "year", "value"))
+    files = t.silver.groupBy("file_id").agg(F.array_sort(listed).alias("r"))
+    cells = lambda x: F.concat_ws(",", x["location_code"], x["indicator_code"], x["year"].cast("string"), x["value"].cast("string"))
+    element = lambda x: F.concat(F.lit("<row><code>"), x["location_code"], F.lit("</code><value>"), x["value"].cast("string"), F.lit("</value></row>"))
+    text = (
+        F.when(fid % 4 == 0, F.to_json(F.struct(F.col("r").alias("rows"))))
+        .when(fid % 4 == 1, F.concat(F.lit("<ROWS>"), F.array_join(F.transform("r", element), ""), F.lit("</ROWS>")))
+        .otherwise(F.concat(F.lit("code,indicator,year,value\n"), F.array_join(F.transform("r", cells), "\n")))
+    )
+    texts = files.where(fid % 4 != 3).select("file_id", text.cast("binary").alias("content"))
+    objects = texts.union(_books(t).where(fid % 4 == 3))
+    third = idiv("file_id", 4) % 3 == 0
+    content = (
+        F.when(fid % 7 == 0, F.lit(b"no table"))
+        .when(third & (fid % 4 == 2), F.lit(b""))
+        .when(third, _half("content"))
+        .otherwise(F.col("content"))
+    )
+    kind = pick([".json", ".xml", ".csv", ".xlsx"], fid % 4)
+    url = F.when(fid % 7 != 0, F.concat(F.lit("https://data.example.org/f/"), fid.cast("string"), kind))
+    return landing.sniff_format(objects.select("file_id", url.alias("url"), content.alias("content")))
+
+
+@query(
+    "read_errors",
+    """SELECT file_id, CASE WHEN file_id % 7 = 0 THEN 'Formato ''unknown'' não suportado nas funções de transformação silver.'
+         ELSE 'Formato ''' || (['json', 'xml', 'csv', 'excel'])[file_id % 4 + 1] || ''' não pôde ser lido automaticamente: ' ||
+           (['JSON mal formado', 'XML mal formado', 'No columns to parse from file', 'BadZipFile: File is not a zip file'])[file_id % 4 + 1] ||
+           '. Configure uma função de transformação manual no Painel de Controlo.' END AS error
+       FROM (SELECT DISTINCT file_id FROM silver) WHERE file_id % 7 = 0 OR (file_id // 4) % 3 = 0""",
+    ["silver"],
+)
+def read_errors(t: Tables):
+    """Which of the landed objects can't be read, and why; the others are read beside them."""
+    return reading.read_errors(written(_landed(t), "landed"))
+
+
+@query(
+    "read_objects",
+    """SELECT file_id, round(sum(value), 2) AS total, count(*) AS n_rows FROM silver
+       WHERE file_id % 4 = 1 AND file_id % 7 <> 0 AND (file_id // 4) % 3 <> 0 GROUP BY file_id
+       UNION ALL SELECT DISTINCT file_id, NULL, 0 FROM silver WHERE file_id % 4 = 1 AND file_id % 7 <> 0 AND (file_id // 4) % 3 = 0""",
+    ["silver"],
+)
+def read_objects(t: Tables):
+    """The rows of readable XML objects, and their unreadable neighbours with none."""
+    fields = T.StructType([T.StructField("code", T.StringType()), T.StructField("value", T.DoubleType())])
+    found = reading.read_xml(_landed(t).where("format = 'xml'"), fields)
+    return found.groupBy("file_id").agg(F.round(F.sum("value"), 2).alias("total"), F.count("value").alias("n_rows"))
 
 
 def _stored(t: Tables) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from almanac.sources import reading
+
 # URL endings, in the order they are tried, and their format tags.
 URL_ENDINGS = [
     (".csv", "csv"),
@@ -131,9 +133,8 @@ def pdf_magic_filter(df: DataFrame, content: str = "content", window: int = 1024
 
 
 def read_json_doc(objects: DataFrame, schema: str | T.DataType, content: str = "content") -> DataFrame:
-    """Whole-document JSON; a document that is none gives null."""
-    text = F.try_validate_utf8(F.col(content).cast("string"))
-    return objects.withColumn("doc", F.from_json(text, schema)).drop(content)
+    """Whole-document JSON; a document that is none gives null, and the reason in ``error``."""
+    return reading.read_json(objects, schema, content)
 
 
 def read_csv_infer(spark: SparkSession, path: str, splittable: bool = False) -> DataFrame:
@@ -145,15 +146,16 @@ def read_csv_infer(spark: SparkSession, path: str, splittable: bool = False) ->
     return spark.read.csv(path, header=True, inferSchema=True, quote='"', escape='"', multiLine=not splittable)
 
 
-XML_REMEDY = "Configure uma função de transformação manual no Painel de Controlo."  # fixed value
-
+def read_xml_rows(spark: SparkSession, path: str, row_tag: str = "row", schema: T.StructType | None = None) -> DataFrame:
+    """The rows of all readable XML files below a folder, with ``file_id`` (the path) and ``error``.
 
-def read_xml_rows(spark: SparkSession, path: str, row_tag: str = "row") -> DataFrame:
-    """XML to rows. A malformed file fails the read, with the remedy in the message."""
-    try:
-        return spark.read.format("xml").option("rowTag", row_tag).option("mode", "FAILFAST").load(path)
-    except Exception as cause:
-        raise ValueError(f"Formato 'xml' não pôde ser lido automaticamente: {cause}. {XML_REMEDY}") from cause
+    A malformed file is one row with the reason. Without ``schema`` the types are inferred from all files.
+    """
+    if schema is None:
+        found = spark.read.format("xml").option("rowTag", row_tag).option("columnNameOfCorruptRecord", "_broken").load(path).schema
+        schema = T.StructType([f for f in found.fields if f.name != "_broken"])
+    objects = scan_bronze(spark, path).select(F.col("path").alias("file_id"), "content")
+    return reading.read_xml(objects, schema, row_tag)
 
 
 def scan_pending(files: DataFrame, key: str, status: str = "pending") -> DataFrame:

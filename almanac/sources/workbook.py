@@ -9,9 +9,10 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from almanac.schemas import GRID_SCHEMA
+from almanac.session import written
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -67,20 +68,42 @@ def cells_of(content: bytes, sheet: str | None = None) -> Iterator[tuple[str, in
             return
 
 
-def read_workbook_grid(objects: DataFrame, sheet: str | None = None, rows_per_batch: int = 50_000) -> DataFrame:
-    """``objects`` has ``file_id`` and ``content``; cells leave the task in batches."""
+def scan_workbooks(objects: DataFrame, sheet: str | None = None, rows_per_batch: int = 50_000) -> DataFrame:
+    """(file_id, sheet, r, c, text, error) of ``objects`` (file_id, content); cells leave the task in batches.
+
+    A workbook that can't be read gives one row with ``error`` and no cell. If it breaks off after a batch has left, that
+    row comes behind its cells; ``read_workbook_grid`` leaves them out.
+    """
+    schema = T.StructType([*GRID_SCHEMA.fields, T.StructField("error", T.StringType())])
+    columns = [f.name for f in schema]
+
+    def frame(cells: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(cells, columns=columns).astype({"r": "Int32", "c": "Int32"})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["file_id", "sheet", "r", "c", "text"]
         for batch in batches:
             cells = []
             for file_id, content in zip(batch["file_id"], batch["content"]):
-                for cell in cells_of(bytes(content), sheet):
-                    cells.append((file_id, *cell))
-                    if len(cells) >= rows_per_batch:
-                        yield pd.DataFrame(cells, columns=columns)
-                        cells = []
+                begun = len(cells)
+                try:
+                    if content is None:
+                        raise ValueError("no content")
+                    for cell in cells_of(bytes(content), sheet):
+                        cells.append((file_id, *cell, None))
+                        if len(cells) >= rows_per_batch:
+                            yield frame(cells)
+                            cells, begun = [], 0
+                except Exception as cause:  # whatever a broken archive or part leads to is an error of this file alone
+                    del cells[begun:]
+                    cells.append((file_id, None, None, None, None, f"{type(cause).__name__}: {cause}"))
             if cells:
-                yield pd.DataFrame(cells, columns=columns)
+                yield frame(cells)
 
-    return objects.select("file_id", "content").mapInPandas(read, GRID_SCHEMA)
+    return objects.select("file_id", "content").mapInPandas(read, schema)
+
+
+def read_workbook_grid(objects: DataFrame, sheet: str | None = None, rows_per_batch: int = 50_000) -> DataFrame:
+    """The cells of the readable workbooks among ``objects``; the others are in ``scan_workbooks``."""
+    scanned = written(scan_workbooks(objects, sheet, rows_per_batch), "cells")
+    broken = scanned.where("error is not null").select("file_id")
+    return scanned.where("error is null").drop("error").join(broken, "file_id", "left_anti")

@@ -7,7 +7,7 @@ import zipfile
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from almanac.functions import wordlists as W
 from almanac.functions.fuzzy import partial_ratio
@@ -15,8 +15,8 @@ from almanac.operators import documents as D, ordering as O, quality as Q, quest
 from almanac.operators import vectors as V, warehouse as WH
 from almanac.operators.grid import header_promote
 from almanac.session import shared_dir
-from almanac.sources import landing, silver_store
-from almanac.sources.workbook import cells_of, read_workbook_grid
+from almanac.sources import landing, reading, silver_store
+from almanac.sources.workbook import cells_of, read_workbook_grid, scan_workbooks
 
 
 def rows(df, *columns):
@@ -403,3 +403,57 @@ def test_no_local_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         shared_dir(Cluster, "x")
+
+
+# --- objects that can't be read --------------------------------------------------------------------------
+
+
+def test_broken_objects_are_error_rows(spark):
+    """Good and bad objects of every format side by side; nulls, bytes that are no text, plain archives, unknown formats."""
+    plain = io.BytesIO()
+    with zipfile.ZipFile(plain, "w") as z:
+        z.writestr("a.txt", "no workbook")
+    parts = io.BytesIO()
+    with zipfile.ZipFile(parts, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("xl/workbook.xml", "<oops")
+    objects = [
+        (1, "json", b'{"a": 1}'), (2, "json", b'{"a": '), (3, "json", b"\xff\xfe"), (4, "json", b"[1, 2]"),
+        (5, "xml", b"<r><row><a>1</a></row></r>"), (6, "xml", b"<r><row><a>1</row></r>"), (7, "xml", b""), (8, "xml", b"\xff"),
+        (9, "csv", b"a,b\n1,2\n"), (10, "csv", b" \n"), (11, "csv", b"\xff\xff"),
+        (12, "excel", b"PK\x03\x04 cut"), (13, "excel", plain.getvalue()), (14, "excel", parts.getvalue()), (15, "excel", None),
+        (16, "unknown", b"?"), (17, None, b"?"), (18, "pdf", None),
+    ]
+    df = spark.createDataFrame([(i, f, bytearray(c) if c is not None else None) for i, f, c in objects], "file_id int, format string, content binary")
+    found = {r["file_id"]: r["error"] for r in reading.read_errors(df).collect()}
+    assert set(found) == {2, 3, 6, 7, 8, 10, 11, 12, 14, 15, 16, 17, 18}
+    assert "UTF-8" in found[3] and "XML mal formado" in found[6] and "BadZipFile" in found[12] and "'pdf'" in found[18]
+
+
+def test_xml_rows_have_types_and_errors(spark):
+    fields = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    docs = [(1, "<x><row><a>1</a><b>é</b></row><row><a>2</a></row><other/></x>"), (2, "<x><row>"), (3, "<x/>"), (4, "<x><row><a>n/a</a><b>t</b></row></x>")]
+    df = spark.createDataFrame([(i, bytearray(d.encode())) for i, d in docs], "file_id int, content binary")
+    got = sorted(((r["file_id"], r["a"], r["b"], r["error"] is None) for r in reading.read_xml(df, fields).collect()), key=str)
+    assert [g for g in got if g[0] < 4] == [(1, 1, "é", True), (1, 2, None, True), (2, None, None, False)]
+
+
+def test_cells_of_a_workbook_that_breaks_off_are_left_out(spark):
+    """The error comes after a batch of cells has left the task."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def book(sheet):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("[Content_Types].xml", "<Types/>")
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="S" r:id="a"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="s.xml"/></Relationships>')
+            z.writestr("xl/s.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}')
+        return bytearray(out.getvalue())
+
+    rows_ = "".join(f'<row r="{r}"><c r="A{r}"><v>{r}</v></c></row>' for r in range(1, 8))
+    df = spark.createDataFrame([(1, book(rows_ + "</sheetData></worksheet>")), (2, book(rows_ + "<row>"))], "file_id int, content binary")
+    scanned = scan_workbooks(df, rows_per_batch=3).collect()
+    assert [r["file_id"] for r in scanned if r["error"]] == [2] and sum(r["file_id"] == 2 for r in scanned) > 1
+    assert {r["file_id"] for r in read_workbook_grid(df, rows_per_batch=3).collect()} == {1}
