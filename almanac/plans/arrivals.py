@@ -16,7 +16,7 @@ from almanac.plans.conform import FILE_SQL
 from almanac.plans.fixtures import Tables, STATUSES, idiv, pick
 from almanac.plans.ops import _FUNNEL
 from almanac.session import shared_dir, written
-from almanac.sources import landing, reading, silver_store, workbook
+from almanac.sources import fact_store, landing, reading, silver_store, workbook
 from almanac.streaming import incremental as S
 
 
@@ -53,15 +53,69 @@ def inc_ingest(t: Tables):
     return S.stored_batches(t.spark, path, events.schema)
 
 
-@query("inc_load_facts", "SELECT report_id, location_sk, indicator_sk, date_id FROM facts", ["facts"])
-def inc_load_facts(t: Tables):
-    """Which value wins depends on arrival; which keys are loaded does not."""
+# a store for some ten thousand keys a folder, as these tables have
+STORE = {"buckets": 4, "bits": 1 << 17}
+
+
+def _values(t: Tables):
     valid, _ = W.surrogate_lookup(t.silver, t.dim_location, t.dim_indicator, t.dim_date)
-    rows = valid.select(*W.FACT_KEY, "ord", "value")
-    path = shared_dir(t.spark, "facts")
-    S.inc_load_facts(_arrivals(rows, 4, "offered"), path, shared_dir(t.spark, "checkpoint"), ["ord"])
-    schema = rows.select(*W.FACT_KEY, "value").schema
-    return S.stored_batches(t.spark, path, schema).select(*W.FACT_KEY)
+    return valid.select(*W.FACT_KEY, "ord", "value")
+
+
+# What two loads leave: a key that the first one offers keeps its value, all others come with the second.
+_TWO_LOADS = """SELECT report_id, location_sk, indicator_sk, date_id,
+         coalesce(min_by(value, ord) FILTER (WHERE ord % 3 = 0), min_by(value, ord) + 0.5) AS value
+       FROM (SELECT s.report_id, l.location_sk, i.indicator_sk, d.date_id, s.ord, s.value FROM silver s
+         JOIN dim_location l ON s.location_code = l.location_code
+         JOIN dim_indicator i ON s.source_code = i.source_system AND s.indicator_code = i.indicator_code
+         JOIN dim_date d ON s.year = d.year) GROUP BY ALL"""
+
+
+@query("inc_load_facts", _TWO_LOADS, ["silver", "dim_indicator", "dim_date"])
+def inc_load_facts(t: Tables):
+    """Two runs of one checkpoint: a third of the rows has arrived for the first, all of them with other values for the second."""
+    rows = written(_values(t), "values")
+    landing_path, path, checkpoint = (shared_dir(t.spark, x) for x in ("offered", "facts", "checkpoint"))
+    rows.where("ord % 3 = 0").write.parquet(f"{landing_path}/a")
+    stream = S.read_arrivals(t.spark, f"{landing_path}/*", rows.schema)
+    S.inc_load_facts(stream, path, checkpoint, ["ord"], **STORE)
+    rows.withColumn("value", F.col("value") + 0.5).write.parquet(f"{landing_path}/b")
+    S.inc_load_facts(stream, path, checkpoint, ["ord"], **STORE)
+    return fact_store.read_facts(t.spark, path).select(*W.FACT_KEY, "value")
+
+
+@query("gold_facts", _TWO_LOADS, ["silver", "dim_indicator", "dim_date"])
+def gold_facts(t: Tables):
+    """The batch sink: three loads, of which the last one offers what is stored and adds nothing."""
+    rows, path = written(_values(t), "offered"), shared_dir(t.spark, "facts")
+    later = rows.withColumn("value", F.col("value") + 0.5)
+    for offered in (rows.where("ord % 3 = 0"), later, later):
+        fact_store.load_facts(offered, path, ["ord"], **STORE)
+    return fact_store.read_facts(t.spark, path).select(*W.FACT_KEY, "value")
+
+
+@query(
+    "gold_batches",
+    """SELECT CAST(0 AS BIGINT) AS batch, count(*) FILTER (WHERE first) AS n_rows FROM (
+         SELECT *, EXISTS (SELECT 1 FROM offered o WHERE o.ord % 3 = 0 AND o.report_id = g.report_id AND o.location_sk = g.location_sk
+           AND o.indicator_sk = g.indicator_sk AND o.date_id = g.date_id) AS first FROM (SELECT DISTINCT report_id, location_sk, indicator_sk, date_id FROM offered) g)
+       UNION ALL SELECT 1, count(*) FILTER (WHERE NOT first) FROM (
+         SELECT EXISTS (SELECT 1 FROM offered o WHERE o.ord % 3 = 0 AND o.report_id = g.report_id AND o.location_sk = g.location_sk
+           AND o.indicator_sk = g.indicator_sk AND o.date_id = g.date_id) AS first FROM (SELECT DISTINCT report_id, location_sk, indicator_sk, date_id FROM offered) g)
+       UNION ALL SELECT 2, 0""",
+    ["silver", "dim_indicator", "dim_date"],
+    {
+        "offered": """SELECT s.report_id, l.location_sk, i.indicator_sk, d.date_id, s.ord FROM silver s
+            JOIN dim_location l ON s.location_code = l.location_code
+            JOIN dim_indicator i ON s.source_code = i.source_system AND s.indicator_code = i.indicator_code
+            JOIN dim_date d ON s.year = d.year"""
+    },
+)
+def gold_batches(t: Tables):
+    """How many facts each of three loads added: the last one none."""
+    rows, path = written(_values(t), "offered"), shared_dir(t.spark, "facts")
+    added = [(i, fact_store.load_facts(o, path, ["ord"], **STORE)) for i, o in enumerate((rows.where("ord % 3 = 0"), rows, rows))]
+    return t.spark.createDataFrame(added, "batch long, n_rows long")
 
 
 @query("stream_dedupe", "SELECT DISTINCT file_id, step FROM logs", ["logs"])

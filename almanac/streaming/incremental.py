@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from almanac.operators import registry, warehouse
-from almanac.schemas import FACT_KEY
+from almanac.operators import registry
+from almanac.sources import fact_store
 
 
 def event_time(column: str) -> Column:
@@ -58,23 +58,17 @@ def stored_batches(spark: SparkSession, path: str, schema: T.StructType, before:
     return df.drop("batch")
 
 
-def inc_load_facts(stream: DataFrame, path: str, checkpoint: str, order: list[str]) -> None:
-    """Facts with first-write-wins across batches.
+def inc_load_facts(
+    stream: DataFrame, path: str, checkpoint: str, order: list[str], buckets: int = fact_store.BUCKETS, bits: int = fact_store.BITS
+) -> None:
+    """Facts with first-write-wins across batches, into the store of ``fact_store``.
 
     A batch only sees batches before its own, so replaying it gives the same
-    rows again.
+    rows again. What it reads of the store depends on its own keys, not on how many batches there were.
     """
-    spark = stream.sparkSession
-    schema = T.StructType([f for f in stream.schema.fields if f.name in (*FACT_KEY, "value")])
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*FACT_KEY, *order, "value")
-        if batch_id == 0:
-            fresh = warehouse.first_write_wins(rows, order)
-        else:
-            stored = stored_batches(spark, path, schema, before=batch_id)
-            fresh = warehouse.insert_ignore(stored, rows, FACT_KEY, order)
-        fresh.select(*[f.name for f in schema.fields]).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        fact_store.load_facts(batch, path, order, batch_id, buckets, bits)
 
     run_available(stream, checkpoint, load)
 

@@ -15,7 +15,7 @@ from almanac.operators import documents as D, ordering as O, quality as Q, quest
 from almanac.operators import vectors as V, warehouse as WH
 from almanac.operators.grid import header_promote
 from almanac.session import shared_dir
-from almanac.sources import landing, reading, silver_store
+from almanac.sources import fact_store, landing, reading, silver_store
 from almanac.sources.workbook import cells_of, read_workbook_grid, scan_workbooks
 
 
@@ -210,7 +210,12 @@ def test_silver_keeps_other_files_and_prunes(spark):
     silver_store.write_silver(df.where("file_id = 2").withColumn("value", F.lit(9.0)), path)
     assert rows(silver_store.scan_silver(spark, path), "file_id", "value") == [(1, 1.0), (2, 9.0)]
     plan = silver_store.scan_silver(spark, path, [2])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(file_id" in plan or "PartitionFilters: [(file_id" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    import pathlib
+
+    folders = {f.parent.name for f in pathlib.Path(path).rglob("*.parquet") if "rows" in f.parts}
+    assert all(f.startswith("bucket=") for f in folders)  # files share folders
+    assert rows(silver_store.scan_silver(spark, path, [2, 77]), "file_id", "value") == [(2, 9.0)]
 
 
 # --- documents and vectors ---------------------------------------------------------------------------
@@ -457,3 +462,60 @@ def test_cells_of_a_workbook_that_breaks_off_are_left_out(spark):
     scanned = scan_workbooks(df, rows_per_batch=3).collect()
     assert [r["file_id"] for r in scanned if r["error"]] == [2] and sum(r["file_id"] == 2 for r in scanned) > 1
     assert {r["file_id"] for r in read_workbook_grid(df, rows_per_batch=3).collect()} == {1}
+
+
+# --- the fact store ----------------------------------------------------------------------------------------
+
+FACTS = "report_id int, location_sk int, indicator_sk int, date_id int, ord int, value double"
+
+
+def offered(spark, keys, value, ord_=0):
+    return spark.createDataFrame([(r, l, 1, d, ord_, value) for r, l, d in keys], FACTS)
+
+
+def test_loads_are_first_write_wins_and_replays_change_nothing(spark):
+    path = shared_dir(spark, "facts-test")
+    rng = random.Random(5)
+    want, sizes = {}, []
+    for batch in range(5):
+        keys = [(rng.randrange(40), rng.randrange(3), rng.randrange(2)) for _ in range(60)]
+        new = {k for k in keys if k not in want}
+        rows_ = offered(spark, keys, float(batch)).union(offered(spark, keys, -1.0, 1)).union(offered(spark, [(None, 1, 1)], 9.0))
+        for _ in range(2):  # each batch runs twice
+            assert fact_store.load_facts(rows_, path, ["ord"], batch, buckets=3, bits=1 << 16) == len(new)
+        want |= {k: float(batch) for k in new}
+        sizes.append(len(new))
+    got = {(r["report_id"], r["location_sk"], r["date_id"]): r["value"] for r in fact_store.read_facts(spark, path).collect()}
+    assert got == want and fact_store.read_facts(spark, path).count() == len(want)
+    assert fact_store.load_facts(offered(spark, want, 7.0), path, ["ord"], buckets=3, bits=1 << 16) == 0
+    assert fact_store.load_facts(offered(spark, [], 7.0), path, ["ord"], buckets=3, bits=1 << 16) == 0
+    early = fact_store.read_facts(spark, path, before=2)
+    assert early.count() == sizes[0] + sizes[1]
+
+
+def test_new_keys_read_no_facts_and_old_ones_only_their_folders(spark):
+    path = shared_dir(spark, "facts-test")
+    for batch in range(3):
+        fact_store.load_facts(offered(spark, [(i, batch, i % 4) for i in range(400)], 1.0), path, ["ord"], batch, buckets=4)
+    keyed = lambda df: df.withColumn("bucket", fact_store.bucket_of(4)).select(*fact_store.FACT_KEY, "bucket")
+    parts = [(d, b) for d in range(4) for b in range(4)]
+    filters = fact_store.newest_filters(spark, path, parts, None)
+    assert fact_store.maybe_stored(keyed(offered(spark, [(i, 9, i % 4) for i in range(400)], 1.0)), filters).count() <= 4
+    old = keyed(offered(spark, [(i, 1, i % 4) for i in range(400)], 1.0))
+    assert rows(fact_store.maybe_stored(old, filters), "report_id") == [(i,) for i in range(400)]  # none is missing
+    # each date and bucket has one filter that counts, however many batches wrote it
+    assert filters.groupBy("date_id", "bucket", "no").count().where("count > 1").isEmpty()
+    one = keyed(offered(spark, [(8, 1, 0)], 1.0))
+    wanted = fact_store._pairs(fact_store.maybe_stored(one, filters))
+    assert len(wanted) == 1
+    plan = fact_store._only(fact_store.read_facts(spark, path), wanted)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*date_id[^\]]*= 0", plan) and "bucket" in plan.split("PartitionFilters")[1]
+
+
+def test_a_batch_that_broke_off_is_not_read(spark):
+    path = shared_dir(spark, "facts-test")
+    fact_store.load_facts(offered(spark, [(1, 1, 1)], 1.0), path, ["ord"], 0)
+    offered(spark, [(2, 2, 2)], 2.0).drop("ord").withColumn("bucket", F.lit(0)).write.partitionBy("date_id", "bucket").parquet(f"{path}/facts/batch=000000001")
+    assert rows(fact_store.read_facts(spark, path), "report_id") == [(1,)]
+    assert fact_store.load_facts(offered(spark, [(2, 2, 2)], 3.0), path, ["ord"], 1) == 1
+    assert rows(fact_store.read_facts(spark, path), "report_id", "value") == [(1, 1.0), (2, 3.0)]
