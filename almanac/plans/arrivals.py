@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -31,17 +32,15 @@ def _arrivals(df: DataFrame, parts: int, purpose: str) -> DataFrame:
     return S.read_arrivals(spark, path, df.schema, files_per_batch=parts // 2)
 
 
-def _collected(stream: DataFrame, mode: str) -> DataFrame:
-    """Result rows of a stream: all batches in append mode, the last one in complete mode."""
-    spark = stream.sparkSession
-    path = shared_dir(spark, "result")
+def _collected(stream: DataFrame) -> DataFrame:
+    """Result rows of a stream in append mode."""
+    path = shared_dir(stream.sparkSession, "result")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        target = path if mode == "complete" else f"{path}/batch={batch_id:09d}"
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
 
-    S.run_available(stream, shared_dir(spark, "checkpoint"), keep, mode)
-    return spark.read.schema(stream.schema).parquet(path)
+    S.run_available(stream, shared_dir(stream.sparkSession, "checkpoint"), keep)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 @query("inc_ingest", "SELECT event_id, user_id, event_type, value FROM events")
@@ -121,20 +120,44 @@ def gold_batches(t: Tables):
 @query("stream_dedupe", "SELECT DISTINCT file_id, step FROM logs", ["logs"])
 def stream_dedupe(t: Tables):
     logs = t.logs.select("file_id", "step", "log_time")
-    return _collected(S.stream_dedupe(_arrivals(logs, 2, "logs"), ["file_id", "step"], "log_time", "400 days"), "append").select(
+    return _collected(S.stream_dedupe(_arrivals(logs, 2, "logs"), ["file_id", "step"], "log_time", "400 days")).select(
         "file_id", "step"
     )
 
 
+def _two_runs(t: Tables, df: DataFrame, first: Column, purpose: str) -> tuple[DataFrame, Callable[[], None]]:
+    """A stream of ``df`` of which the rows of ``first`` have landed, and what lands the others."""
+    path = shared_dir(t.spark, purpose)
+    df.where(first).write.parquet(f"{path}/a")
+    return S.read_arrivals(t.spark, f"{path}/*", df.schema), lambda: df.where(~first).write.parquet(f"{path}/b")
+
+
+def _batches(t: Tables, stream: DataFrame, more: Callable[[], None], keyed: bool = False) -> DataFrame:
+    """What a stream returns in update mode, batch by batch, in two runs of one checkpoint; ``more`` lands between them."""
+    path, checkpoint = shared_dir(t.spark, "result"), shared_dir(t.spark, "checkpoint")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/run={batch_id}")
+
+    S.run_available(stream, checkpoint, keep, "update", keyed)
+    more()
+    S.run_available(stream, checkpoint, keep, "update", keyed)
+    paths = T.StructType([*stream.schema.fields, T.StructField("run", T.LongType())])
+    return t.spark.read.schema(paths).option("basePath", path).parquet(f"{path}/run=*")
+
+
 @query(
     "stream_errors_window",
     "SELECT CAST(time_bucket(INTERVAL 15 MINUTE, log_time) AS VARCHAR) AS window_start, count(*) AS errors FROM logs GROUP BY ALL",
     ["logs"],
 )
 def stream_errors_window(t: Tables):
-    counted = S.stream_errors_window(_arrivals(t.logs.select("log_time"), 2, "logs"), "log_time")
-    shown = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")
-    return _collected(counted, "complete").select(shown, "errors")
+    """Two runs in update mode: a window's newest count is the one that holds."""
+    logs = t.logs.select("id", "log_time")
+    stream, more = _two_runs(t, logs, F.col("id") % 2 == 0, "logs")
+    counted = _batches(t, S.stream_errors_window(stream, "log_time", late="400 days"), more)
+    newest = counted.groupBy("window_start").agg(F.max_by("errors", "run").alias("errors"))
+    return newest.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "errors")
 
 
 @query(
@@ -145,24 +168,55 @@ def stream_errors_window(t: Tables):
     ["logs"],
 )
 def stream_status_latest(t: Tables):
+    """Two runs in update mode over keyed state; the newest change of a file is its status."""
     moves = t.logs.select("file_id", "id", "log_time", pick(STATUSES, F.col("id") % 6).alias("status"))
-    latest = S.stream_status_latest(_arrivals(moves, 2, "moves"), "file_id", "status", ["log_time", "id"])
-    return _collected(latest, "complete")
+    stream, more = _two_runs(t, moves, F.col("id") % 2 == 0, "moves")
+    changes = _batches(t, S.stream_status_latest(stream, "file_id", "status", "log_time", "id", "400 days"), more, keyed=True)
+    return changes.groupBy("file_id").agg(F.max_by("status", F.struct("log_time", "id")).alias("status"))
+
+
+def _routed(t: Tables) -> str:
+    """Two runs of one checkpoint: files and entries with even numbers have come for the first one, the others for the second."""
+    logs = t.logs.select("id", "file_id", "step", "log_time")
+    files, more_files = _two_runs(t, t.op_data, F.col("file_id") % 2 == 0, "files")
+    entries, more_logs = _two_runs(t, logs, F.col("id") % 2 == 0, "logs")
+    path, checkpoint = shared_dir(t.spark, "routed"), shared_dir(t.spark, "checkpoint")
+    S.stream_retry_route(files, entries, path, checkpoint)
+    more_files()
+    more_logs()
+    S.stream_retry_route(files, entries, path, checkpoint)
+    return path
+
+
+# An even file is sent back before the odd entries have come.
+_SEEN = {
+    "seen": """SELECT l.*, d.file_id AS fid FROM logs l JOIN op_data d ON l.file_id = CAST(d.file_id AS VARCHAR)
+        WHERE d.pipeline_status = 'failed' AND (d.file_id % 2 = 1 OR l.id % 2 = 0)"""
+}
 
 
 @query(
     "stream_retry_route",
     """SELECT d.file_id, CASE WHEN step IN ('silver', 'gold_validations', 'gold') OR (file_url IS NULL AND step IS NOT NULL)
          THEN 'bronze' ELSE 'pending' END AS pipeline_status
-       FROM op_data d LEFT JOIN (SELECT file_id, step FROM (SELECT *, row_number() OVER (
-         PARTITION BY file_id ORDER BY log_time DESC, id DESC) AS n FROM logs) WHERE n = 1) l
-       ON l.file_id = CAST(d.file_id AS VARCHAR) WHERE d.pipeline_status = 'failed'""",
+       FROM op_data d LEFT JOIN (SELECT fid, arg_max(step, (log_time, id)) AS step FROM seen GROUP BY 1) l ON l.fid = d.file_id
+       WHERE d.pipeline_status = 'failed'""",
     ["op_data", "logs"],
+    _SEEN,
 )
 def stream_retry_route(t: Tables):
-    path = shared_dir(t.spark, "routed")
-    S.stream_retry_route(_arrivals(t.op_data, 2, "files"), t.logs, path, shared_dir(t.spark, "checkpoint"))
-    return S.stored_batches(t.spark, path, t.op_data.schema).select("file_id", "pipeline_status")
+    return S.routed_files(t.spark, _routed(t))
+
+
+@query(
+    "stream_retry_logs",
+    "SELECT id, file_id, step FROM logs WHERE id NOT IN (SELECT id FROM seen)",
+    ["op_data", "logs"],
+    _SEEN,
+)
+def stream_retry_logs(t: Tables):
+    """The log entries that a streamed retry keeps."""
+    return S.kept_logs(t.spark, _routed(t), t.logs.select("id", "file_id", "step"))
 
 
 # --- files ------------------------------------------------------------------------------------
