@@ -146,6 +146,8 @@ def country_names(t: Tables) -> DataFrame:
     shown = (
         F.when(F.col("place") == 6, "Atlantis")
         .when(F.col("place") == 7, " ")
+        .when(F.col("place") % 5 == 3, F.overlay("location_name", F.lit(""), 3, 1))
+        .when(F.col("place") % 5 == 4, F.translate("location_name", "AO", "ÂÓ"))
         .when(F.col("place") % 2 == 0, F.initcap("location_name"))
         .otherwise(F.col("location_name"))
     )

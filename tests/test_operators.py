@@ -11,6 +11,7 @@ from pyspark.sql import functions as F, types as T
 
 from almanac.functions import wordlists as W
 from almanac.functions.fuzzy import partial_ratio
+from almanac.operators import spelling
 from almanac.operators import documents as D, ordering as O, quality as Q, questions as QU, registry as G, reshape as R
 from almanac.operators import vectors as V, warehouse as WH
 from almanac.operators.grid import header_promote
@@ -519,3 +520,46 @@ def test_a_batch_that_broke_off_is_not_read(spark):
     assert rows(fact_store.read_facts(spark, path), "report_id") == [(1,)]
     assert fact_store.load_facts(offered(spark, [(2, 2, 2)], 3.0), path, ["ord"], 1) == 1
     assert rows(fact_store.read_facts(spark, path), "report_id", "value") == [(1, 1.0), (2, 3.0)]
+
+
+# --- names that are written differently -------------------------------------------------------------------
+
+
+def test_nearest_names_equal_comparing_all(spark):
+    rng = random.Random(11)
+    known = [("Germany", "DEU"), ("Ghana", "GHA"), ("Guyana", "GUY"), ("Niger", "NER"), ("Nigeria", "NGA"), ("Österreich", "AUT"), ("Ελλάδα", "GRC"), ("Iran", "IRN"), ("Iraq", "IRQ"), ("New Zealand", "NZL"), ("Côte d'Ivoire", "CIV"), ("Togo", "TGO"), ("togo ", "TGA")]
+    asked = {"germany", "Gèrmany", "Germani", "Grmany", "Nigera", "Nigeri", "Iram", "iran", "Osterreich", "ελλαδα", "Neu Sealand", "New  ZEALAND", "cote d’ivoire", "", " ", "Togo", "Tog", "Atlantis", "Ｇｈａｎａ"}
+    for name, _ in known:
+        for _ in range(6):
+            letters = list(name)
+            for _ in range(rng.randrange(1, 4)):
+                k = rng.randrange(len(letters))
+                letters[k : k + 1] = rng.choice([[], ["x"], [letters[k], "y"]])
+                letters = letters or ["z"]
+            asked.add("".join(letters))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    codes = {}
+    for name, code in known:
+        key = spelling._fold(name)
+        codes[key] = min(code, codes.get(key, code))
+    want = {}
+    for name in asked:
+        key, near = spelling._fold(name), {}
+        for k, code in codes.items():
+            d, n = distance(key, k), min(len(key), len(k))
+            if key and d <= (0 if n < 5 else 1 if n < 9 else 2):
+                near.setdefault(d, set()).add(code)
+        if near and len(near[min(near)]) == 1:
+            want[name] = (near[min(near)].pop(), min(near))
+    got = spelling.nearest_names(spark.createDataFrame([(a,) for a in asked] + [(None,), ("iran",)], "name string"), spark.createDataFrame([*known, (None, "X"), ("Y", None)], "name string, code string"))
+    found = {r["name"]: (r["code"], r["distance"]) for r in got.collect()}
+    assert found == want
+    assert found["Germani"] == ("DEU", 1) and "Nigera" not in found and "Iram" not in found and found["ελλαδα"][0] == "GRC" and found["Ｇｈａｎａ"] == ("GHA", 0)
