@@ -10,8 +10,8 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from almanac.operators import runlog as L, warehouse as W
-from almanac.plans import layouts
+from almanac.operators import job, reshape, runlog, warehouse as W
+from almanac.plans import layouts as L
 from almanac.plans.catalog import query
 from almanac.plans.conform import FILE_SQL
 from almanac.plans.fixtures import Tables, STATUSES, idiv, pick
@@ -328,7 +328,7 @@ def _books(t: Tables) -> DataFrame:
     def make(cells: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"file_id": [cells["file_id"].iloc[0]], "content": [_book(cells)]})
 
-    return layouts.offset_header(t).groupBy("file_id").applyInPandas(make, "file_id int, content binary")
+    return L.offset_header(t).groupBy("file_id").applyInPandas(make, "file_id int, content binary")
 
 
 def _half(content: str) -> Column:
@@ -437,6 +437,95 @@ def scan_silver(t: Tables):
 )
 def write_run_report(t: Tables):
     path = shared_dir(t.spark, "report")
-    funnel = L.run_funnel(t.op_data, t.logs, F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))
+    funnel = runlog.run_funnel(t.op_data, t.logs, F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))
     silver_store.write_run_report(funnel, path)
     return t.spark.read.text(path).withColumnRenamed("value", "line")
+
+
+# --- the whole job ------------------------------------------------------------------------------
+
+
+def _job(t: Tables):
+    """Files of five sources: three layouts, an extractor of one's own whose codes fail the check, and a source without any.
+
+    Every eleventh object is cut in half, every thirteenth JSON document is empty, and the dates lack 1995.
+    """
+    reshape.register_extractor("valores_minusculos", _lower_codes)
+    n = F.ascii(F.substring("source_code", 5, 1)) - 65
+    mapping = t.op_report.select("source_code").distinct().select(
+        "source_code",
+        pick(["nested_json", "fraser", "country_names", None, None], n).alias("extract_function"),
+        pick(["manual", None, "manual", "valores_minusculos", None], n).alias("ai_extract_function"),
+    )
+    fid, source = F.col("file_id"), idiv("file_id", 100) % 5
+    docs = L.nested_json(t).where(source.isin(0, 3)).select("file_id", F.lit("json").alias("format"), F.col("content").cast("binary").alias("content"))
+    docs = docs.withColumn("content", F.when(fid % 13 == 0, F.lit(b"{}")).otherwise(F.col("content")))
+
+    def make(cells: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"file_id": [cells["file_id"].iloc[0]], "format": ["excel"], "content": [_book(cells)]})
+
+    grids = L.offset_header(t).where(source == 1).unionByName(L.country_names(t).where(source == 2))
+    books = grids.groupBy("file_id").applyInPandas(make, "file_id int, format string, content binary")
+    objects = written(docs.unionByName(books), "objects")
+    objects = objects.withColumn("content", F.when(fid % 11 == 0, _half("content")).otherwise(F.col("content")))
+    files = t.op_data.withColumn("pipeline_status", F.when(F.col("pipeline_status") == "done", "done").otherwise("bronze"))
+    silver, facts = shared_dir(t.spark, "silver"), shared_dir(t.spark, "facts")
+    outcomes, known = [], None
+    for _ in range(2):  # the second run finds nothing to do
+        now = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
+        done = job.run_job(files, t.op_report, objects, mapping, t.dim_location, t.dim_date.where("year <> 1995"), known, silver, facts, now, **STORE)
+        files, known = done.files, done.indicators
+        outcomes.append(done)
+    return outcomes, facts
+
+
+def _lower_codes(docs: DataFrame) -> DataFrame:
+    return reshape.reshape_nested_json(docs).withColumn("location_code", F.lower("location_code"))
+
+
+_FARED = {
+    "expected": f"""SELECT {FILE_SQL} AS file_id, report_id, location_code, indicator_code, value, report_id % 5 AS source,
+            CASE WHEN report_id % 5 = 2 THEN 2026 ELSE year END AS loaded_year, year
+            FROM star WHERE report_id % 5 IN (0, 3) AND location_code <> 'NAA' OR report_id % 5 = 1 AND location_code <> 'NAC'
+              OR report_id % 5 = 2 AND location_name NOT IN ('NATION_5', 'NATION_6')""",
+    "fared": f"""SELECT d.file_id, CASE
+            WHEN d.pipeline_status = 'done' THEN 'done' WHEN report_id % 5 = 4 THEN 'silver|AI não conseguiu gerar função para ''SRC_E'''
+            WHEN file_id % 11 = 0 AND report_id % 5 IN (0, 3) THEN 'silver|Formato ''json'' não pôde ser lido automa'
+            WHEN file_id % 11 = 0 THEN 'silver|Formato ''excel'' não pôde ser lido autom'
+            WHEN file_id % 13 = 0 AND report_id % 5 IN (0, 3) THEN 'silver|DataFrame vazio após transformação'
+            WHEN NOT EXISTS (SELECT 1 FROM expected e WHERE e.file_id = d.file_id) AND report_id % 5 IN (0, 3) THEN 'silver|DataFrame vazio após clean_dataframe'
+            WHEN NOT EXISTS (SELECT 1 FROM expected e WHERE e.file_id = d.file_id) THEN 'silver|DataFrame vazio após transformação'
+            WHEN report_id % 5 = 3 THEN 'gold_validations|''location_code'' não contém códigos ISO3 '
+            WHEN report_id % 5 IN (0, 1) AND file_id % 100 = 5 THEN 'gold|0 linhas válidas de ' || (SELECT count(*) FROM expected e WHERE e.file_id = d.file_id) || ' — location'
+            ELSE 'done' END AS fate, d.pipeline_status AS was FROM op_data d""",
+}
+
+
+@query(
+    "pipeline_run",
+    """SELECT file_id, CASE WHEN fate = 'done' THEN 'done' ELSE 'failed' END AS pipeline_status,
+         CASE WHEN fate <> 'done' THEN split_part(fate, '|', 1) END AS step, CASE WHEN fate <> 'done' THEN split_part(fate, '|', 2)[1:30] END AS error
+       FROM fared""",
+    ["star", "op_data"],
+    _FARED,
+)
+def pipeline_run(t: Tables):
+    """How each file fared in the job, and the beginning of its log text."""
+    (first, second), _ = _job(t)
+    logs = first.logs.unionByName(second.logs).select(F.col("file_id").cast("int").alias("file_id"), "step", F.substring("error_message", 1, 30).alias("error"))
+    return second.files.select("file_id", "pipeline_status").join(logs, "file_id", "left")
+
+
+@query(
+    "pipeline_facts",
+    """SELECT report_id, location_sk, indicator_code, date_id, min_by(value, (file_id, value)) AS value
+       FROM expected e JOIN fared f USING (file_id) JOIN dim_location l USING (location_code) JOIN dim_date d ON d.year = loaded_year
+       WHERE fate = 'done' AND was <> 'done' AND loaded_year <> 1995 GROUP BY ALL""",
+    ["star", "op_data", "dim_date"],
+    _FARED,
+)
+def pipeline_facts(t: Tables):
+    """The facts that two runs of the job leave."""
+    (_, second), facts = _job(t)
+    codes = second.indicators.select("indicator_sk", "indicator_code")
+    return fact_store.read_facts(t.spark, facts).join(codes, "indicator_sk").select("report_id", "location_sk", "indicator_code", "date_id", "value")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F, types as T
 
 from almanac.functions import wordlists as W
 from almanac.functions.fuzzy import partial_ratio
-from almanac.operators import spelling
+from almanac.operators import job, spelling
 from almanac.operators import documents as D, ordering as O, quality as Q, questions as QU, registry as G, reshape as R
 from almanac.operators import vectors as V, warehouse as WH
 from almanac.operators.grid import header_promote
@@ -563,3 +563,46 @@ def test_nearest_names_equal_comparing_all(spark):
     found = {r["name"]: (r["code"], r["distance"]) for r in got.collect()}
     assert found == want
     assert found["Germani"] == ("DEU", 1) and "Nigera" not in found and "Iram" not in found and found["ελλαδα"][0] == "GRC" and found["Ｇｈａｎａ"] == ("GHA", 0)
+
+
+# --- the job -----------------------------------------------------------------------------------------------
+
+
+def test_delimited_files_with_different_titles(spark):
+    texts = [(1, 'Unnamed: 0,Unnamed: 1,GDP,"Rank, all"\n2000.0,PRT,1.5,"7"\n2001.0,ESP,"2,5",8\n'), (2, "Unnamed: 0,Unnamed: 1,LAW\r\n1999.0,FRA,3\r\n"), (3, " ")]
+    objects = spark.createDataFrame([(i, bytearray(x.encode())) for i, x in texts], "file_id int, content binary")
+    wide = job.read_table(objects)
+    got = rows(R.reshape_wide_unnamed(wide.drop("Rank, all")), "file_id", "location_code", "indicator_code", "year", "value")
+    assert got == [(1, "PRT", "GDP", 2000, 1.5), (2, "FRA", "LAW", 1999, 3.0)]
+
+
+def test_a_run_without_files_changes_nothing(spark):
+    path = shared_dir(spark, "job-test")
+    files = spark.createDataFrame([(1, 1, "done"), (2, 9, "bronze")], "file_id int, report_id int, pipeline_status string")
+    reports = spark.createDataFrame([(1, "S")], "report_id int, source_code string")
+    objects = spark.createDataFrame([], "file_id int, format string, content binary")
+    mapping = spark.createDataFrame([], "source_code string, extract_function string, ai_extract_function string")
+    places = spark.createDataFrame([("PRT", 1, "Portugal")], "location_code string, location_sk int, name string")
+    dates = spark.createDataFrame([(1, 2000)], "date_id int, year int")
+    known = spark.createDataFrame([], "indicator_sk int, source_system string, indicator_code string, indicator_name string")
+    for indicators in (known, None):
+        out = job.run_job(files, reports, objects, mapping, places, dates, indicators, f"{path}/s", f"{path}/f", F.current_timestamp(), buckets=1, bits=1 << 16)
+        assert rows(out.files, "file_id", "pipeline_status") == [(1, "done"), (2, "bronze")]  # the report of file 2 is unknown
+        assert out.logs.collect() == [] and out.n_facts == 0
+
+
+def test_files_without_object_or_rows_fail_alone(spark):
+    path = shared_dir(spark, "job-test")
+    files = spark.createDataFrame([(i, 1, "bronze") for i in range(1, 5)], "file_id int, report_id int, pipeline_status string")
+    doc = '{"indicators": {"GDP": {"label": "Income"}}, "values": {"GDP": {"PRT": {"2000": %s}, "ESP": {"2000": 2}}}}'
+    texts = {1: doc % "1.5", 2: "[]", 3: doc % "7"}
+    objects = spark.createDataFrame([(i, "json", bytearray(x.encode())) for i, x in texts.items()], "file_id int, format string, content binary")
+    mapping = spark.createDataFrame([("S", "imf", "manual")], "source_code string, extract_function string, ai_extract_function string")
+    reports = spark.createDataFrame([(1, "S")], "report_id int, source_code string")
+    places = spark.createDataFrame([("PRT", 1, "Portugal"), ("ESP", 2, "Spain")], "location_code string, location_sk int, name string")
+    dates = spark.createDataFrame([(1, 2000)], "date_id int, year int")
+    out = job.run_job(files, reports, objects, mapping, places, dates, None, f"{path}/s", f"{path}/f", F.current_timestamp(), buckets=1, bits=1 << 16)
+    assert rows(out.files, "file_id", "pipeline_status") == [(1, "done"), (2, "failed"), (3, "done"), (4, "failed")]
+    assert rows(out.logs, "file_id", "step", "error_message") == [("2", "silver", job.EMPTY), ("4", "silver", job.NO_OBJECT)]
+    # the same keys come from two files: the first file's values stay
+    assert rows(fact_store.read_facts(spark, f"{path}/f"), "location_sk", "value") == [(1, 1.5), (2, 2.0)] and out.n_facts == 2
