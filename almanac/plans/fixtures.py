@@ -7,13 +7,15 @@ year, one source row for an order, so every table grows with the data.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from almanac.operators import warehouse
-from almanac.schemas import FIRST_YEAR, LAST_YEAR
-from almanac.session import spread, written
+from almanac.schemas import FACT_KEY, FIRST_YEAR, LAST_YEAR
+from almanac.session import shared_dir, spread, written
+from almanac.sources import fact_store
 
 STATUSES = ["pending", "processing", "bronze", "silver", "done", "failed"]
 REPORT_STATUSES = ["pending", "processing", "bronze", "done", "failed"]
@@ -35,6 +37,16 @@ def idiv(column: str, by: int) -> Column:
 _SCHEMAS: dict = {}  # footers are read once per file, not once per query
 
 
+@dataclass
+class Store:
+    path: str
+    indicators: DataFrame
+    star: DataFrame | None = None
+
+
+_STORES: dict[tuple, Store] = {}  # warehouses of this session
+
+
 class Tables:
     """Lazily built DataFrames over one folder of Parquet tables."""
 
@@ -191,20 +203,49 @@ class Tables:
         )
 
     @cached_property
-    def dim_indicator(self) -> DataFrame:
+    def stored(self) -> Store:
+        """The warehouse on disk: facts in a ``fact_store`` and the indicator dimension.
+
+        It is loaded once for a session and state of the source files, as a warehouse is, and read by every query after that.
+        """
+        files = [f"{self.sf_dir}/{n}.parquet" for n in ("orders", "customer", "nation", "region")]
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(files)
+        state = found.agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(state))
+        if key not in _STORES:
+            indicators = written(self.built_indicators, "dim-indicator")
+            path = shared_dir(self.spark, "warehouse")
+            rows, _ = warehouse.surrogate_lookup(self.silver, self.dim_location, indicators, self.dim_date)
+            # a bucket for some hundred thousand keys of a date, a filter of sixteen bits a key
+            buckets = max(1, round(state[1] / (256 << 20)))
+            fact_store.load_facts(rows, path, ["ord"], buckets=buckets)
+            _STORES[key] = Store(path, indicators)
+        return _STORES[key]
+
+    @cached_property
+    def built_indicators(self) -> DataFrame:
         return warehouse.new_indicators(self.silver)
 
+    @cached_property
+    def dim_indicator(self) -> DataFrame:
+        return self.stored.indicators
+
     @cached_property
     def dim_report(self) -> DataFrame:
         return warehouse.distinct_join_load(self.op_report, self.op_data)
 
     @cached_property
-    def facts(self) -> DataFrame:
+    def built_facts(self) -> DataFrame:
         valid, _ = warehouse.surrogate_lookup(
             self.silver, self.dim_location, self.dim_indicator, self.dim_date
         )
         return warehouse.first_write_wins(valid, ["ord"])
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """The stored facts; a condition on the date reads the folders of that date."""
+        return fact_store.read_facts(self.spark, self.stored.path).select(*FACT_KEY, "value")
+
     @cached_property
     def star(self) -> DataFrame:
         return warehouse.star_rows(self.facts, self.dim_indicator, self.dim_location, self.dim_date)
@@ -212,7 +253,9 @@ class Tables:
     @cached_property
     def star_table(self) -> DataFrame:
         """The star rows as a table, for jobs that read them more than once."""
-        return written(self.star, "star")
+        if self.stored.star is None:
+            self.stored.star = written(self.star, "star")
+        return self.stored.star
 
     @cached_property
     def flat(self) -> DataFrame:

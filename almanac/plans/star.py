@@ -55,7 +55,7 @@ def union_distinct_pairs(t: Tables):
 
 @query("assign_indicator_keys", "SELECT * FROM dim_indicator", ["dim_indicator"])
 def assign_indicator_keys(t: Tables):
-    return t.dim_indicator
+    return t.built_indicators
 
 
 @query(
@@ -121,7 +121,7 @@ def load_result_message(t: Tables):
 
 @query("first_write_wins", "SELECT * FROM facts", ["facts"])
 def first_write_wins(t: Tables):
-    return t.facts
+    return t.built_facts
 
 
 def _facts_of_done(t: Tables):

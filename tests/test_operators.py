@@ -606,3 +606,15 @@ def test_files_without_object_or_rows_fail_alone(spark):
     assert rows(out.logs, "file_id", "step", "error_message") == [("2", "silver", job.EMPTY), ("4", "silver", job.NO_OBJECT)]
     # the same keys come from two files: the first file's values stay
     assert rows(fact_store.read_facts(spark, f"{path}/f"), "location_sk", "value") == [(1, 1.5), (2, 2.0)] and out.n_facts == 2
+
+
+@pytest.mark.parametrize("key", ["snapshot", "point_lookup", "existence_count", "threshold_filter", "top_n_overall"])
+def test_point_queries_prune_dates_and_names_before_facts(spark, key):
+    import __spark_entry__ as contract
+
+    df = contract.queries()[key](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruning", plan) or "SubqueryBroadcast dynamicpruning" in plan
+    facts = plan.index("value#")
+    assert "indicator_name" in plan[facts:] and plan.count("SortMergeJoin") == 0  # names decide in the dimension, whose keys are sent to the facts
