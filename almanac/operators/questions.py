@@ -110,6 +110,7 @@ def q_template(tier: Column, question: Column) -> Column:
 # --- countries -------------------------------------------------------------------------------
 
 SMALL_ALIASES = 1_000
+ALIAS_BLOCK = 100_000  # aliases that are sent to every task at once
 
 
 def country_aliases(spark) -> DataFrame:
@@ -123,7 +124,8 @@ def alias_hits(texts: DataFrame, key: str, text: str, aliases: DataFrame, small:
 
     Few aliases are tested one by one inside the row. Many are found by an
     equality join: the text is cut into its substrings of the lengths that
-    aliases have, so no text is compared with every alias.
+    aliases have, so no text is compared with every alias. The aliases are sent to the substrings, in blocks of
+    ``ALIAS_BLOCK`` with a pass over the texts for each; what is shuffled are the hits.
     """
     aliases = aliases.where(F.col("alias").isNotNull())
     rows = aliases.select("alias", "name", "place").limit(small + 1).collect()
@@ -139,13 +141,20 @@ def alias_hits(texts: DataFrame, key: str, text: str, aliases: DataFrame, small:
         return texts.select(key, low.alias("_low"), F.inline(found)).select(
             key, "alias", "name", "place", F.instr("_low", F.col("alias")).alias("pos")
         )
-    lengths = [r["n"] for r in aliases.select(F.length("alias").alias("n")).distinct().collect()]
-    pieces = texts.select(key, low.alias("_low"), F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])).alias("_n"))
+    blocks = -(-aliases.count() // ALIAS_BLOCK)
+    found = [_hits_of(texts, key, low, aliases.where(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == i)) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _hits_of(texts: DataFrame, key: str, low: Column, aliases: DataFrame) -> DataFrame:
+    """The hits of a block of aliases that every task can hold."""
+    lengths = sorted(r["n"] for r in aliases.select(F.length("alias").alias("n")).distinct().collect())
+    pieces = texts.select(key, low.alias("_low"), F.explode(F.array(*(F.lit(n) for n in lengths or [1]))).alias("_n"))
     starts = F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1)
     cut = pieces.where(F.length("_low") >= F.col("_n")).select(key, "_low", "_n", F.explode(starts).alias("pos"))
     substrings = cut.select(key, "pos", F.substring(F.col("_low"), F.col("pos"), F.col("_n")).alias("alias"))
-    first = substrings.groupBy(key, "alias").agg(F.min("pos").alias("pos"))
-    return first.join(aliases, "alias").select(key, "alias", "name", "place", "pos")
+    met = substrings.join(F.broadcast(aliases.select("alias", "name", "place")), "alias")
+    return met.groupBy(key, "alias", "name", "place").agg(F.min("pos").alias("pos"))
 
 
 def q_country_first(hits: DataFrame, key: str = "q_id") -> DataFrame:

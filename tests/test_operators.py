@@ -615,6 +615,24 @@ def test_point_queries_prune_dates_and_names_before_facts(spark, key):
     df = contract.queries()[key](spark, "/root/testdata/sf0.001")
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruning", plan) or "SubqueryBroadcast dynamicpruning" in plan
-    facts = plan.index("value#")
-    assert "indicator_name" in plan[facts:] and plan.count("SortMergeJoin") == 0  # names decide in the dimension, whose keys are sent to the facts
+    assert "SubqueryBroadcast dynamicpruning" in plan
+    assert "indicator_name" in plan and "SortMergeJoin" not in plan  # names decide in the dimension, whose keys are sent to the facts
+
+
+def test_aliases_reach_the_texts_and_only_hits_are_shuffled(spark, monkeypatch):
+    """Equal rows for few and many aliases, in one block and in several."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcd é") for _ in range(n))
+    listed = [(a, f"n{i % 7}", i) for i, a in enumerate(sorted({word(rng.randrange(1, 6)) for _ in range(400)}))]
+    texts = [(i, word(rng.randrange(0, 60)).upper()) for i in range(30)] + [(30, None), (31, "")]
+    want = sorted((i, a, n, p, t.lower().index(a) + 1) for i, t in texts if t for a, n, p in listed if a in t.lower())
+    df = spark.createDataFrame(texts, "q_id int, question string")
+    aliases = spark.createDataFrame([*listed, (None, "x", 9)], "alias string, name string, place int")
+    for small, block in ((1_000, 100_000), (10, 100_000), (10, 150)):
+        monkeypatch.setattr(QU, "ALIAS_BLOCK", block)
+        hits = QU.alias_hits(df, "q_id", "question", aliases, small)
+        assert rows(hits, "q_id", "alias", "name", "place", "pos") == want
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    many = spark.createDataFrame([(f"zz{i}", "n", i) for i in range(10_000)] + listed, "alias string, name string, place int")
+    assert rows(QU.alias_hits(df, "q_id", "question", many), "q_id", "alias", "name", "place", "pos") == want
