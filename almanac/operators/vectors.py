@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from almanac.functions.vectors import nearest, unit_rows
+from almanac.functions.vectors import cosine_distance, nearest, unit_rows
 from almanac.operators.blocks import block_pairs
 from almanac.operators.ordering import top_n_per_key
+from almanac.session import written
 
 K = 5  # fixed value: hits per question
-LISTS = 100  # fixed value: inverted lists of the declared index
+TARGET = 0.98  # share of the nearest vectors of sampled queries that probes and shortlists are set to reach, each
+TRIED = 256  # sampled queries
+SAMPLE = 50_000  # vectors that centres and code words are fitted on, at most about
+WORDS = 64  # code words of a piece
 
 # Queries are sent to every task only up to this many numbers (32 MB as doubles).
 BROADCAST_NUMBERS = 4_000_000
@@ -94,64 +99,168 @@ def vector_topk(
     return _ranked(candidates, k)
 
 
-def train_lists(corpus: DataFrame, lists: int = LISTS, seed: int = 7) -> np.ndarray:
-    """Centroids of the unit vectors, at most ``lists`` of them."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+@dataclass
+class Index:
+    """Inverted lists of unit vectors, and codes of what is left of a vector beside its list's centre."""
+
+    centres: np.ndarray  # (lists, width)
+    words: np.ndarray  # (pieces, words, width of a piece)
+    rows: DataFrame  # vec_id, embedding, list_id, code
+    sizes: np.ndarray  # vectors of each list
+    probes: int  # lists that a query looks at, and vectors that codes pick for the exact comparison
+    shortlist: int
+
+
+def _near(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    square = (centres**2).sum(axis=1) - 2 * points @ centres.T
+    return square.argmin(axis=1)
+
+
+def _means(points: np.ndarray, k: int, seed: int, steps: int = 15) -> np.ndarray:
+    """Centres of at most ``k`` groups of the points; a centre without points keeps its place."""
+    rng = np.random.default_rng(seed)
+    centres = points[rng.choice(len(points), min(k, len(points)), replace=False)]
+    for _ in range(steps):
+        of = _near(points, centres)
+        counts = np.bincount(of, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, points)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+    return centres
+
+
+def _pieces(width: int) -> int:
+    """Into how many pieces a vector is cut for its code: of eight numbers, or of as many as divide it."""
+    return next(p for p in (width // 8, width // 4, width // 2, width, 1) if p and width % p == 0)
+
+
+def _settings(fitted: np.ndarray, centres: np.ndarray, words: np.ndarray, n: int, k: int) -> tuple[int, int]:
+    """How many lists and how long a shortlist it takes to find most neighbours of some sampled vectors among the sample."""
+    tried = fitted[:: max(1, len(fitted) // TRIED)][:TRIED]
+    of = _near(fitted, centres)
+    cut = (fitted - centres[of]).reshape(len(fitted), len(words), -1)
+    coded = centres[of] + np.concatenate([words[p][_near(cut[:, p], words[p])] for p in range(len(words))], axis=1)
+    order = np.argsort((centres**2).sum(axis=1) - 2 * tried @ centres.T, axis=1, kind="stable")
+    place = np.argsort(order, axis=1)  # of each list among a query's
+    lists, ranks = [], []
+    for i, q in enumerate(tried):
+        near = np.argsort(-(fitted @ q), kind="stable")[: k + 1]
+        by_code = np.argsort(np.argsort(-(coded @ q), kind="stable"))
+        lists += place[i, of[near]].tolist()
+        ranks += by_code[near].tolist()
+    return int(np.quantile(lists, TARGET)) + 1, max(k, math.ceil((np.quantile(ranks, TARGET) + 1) * n / len(fitted)))
+
+
+def build_index(corpus: DataFrame, lists: int | None = None, sample: int = SAMPLE, seed: int = 7, k: int = K) -> Index:
+    """An index of all rows of ``corpus`` (vec_id, embedding), about sqrt(rows) lists unless told otherwise.
+
+    Centres and code words are fitted on at most about ``sample`` vectors, chosen by a hash of their id; every vector
+    is then put into the list of its nearest centre, once. How many lists and codes a query of ``k`` looks at is set from the
+    neighbours of sampled vectors. Vectors without length are in the first list.
+    """
+    corpus = corpus.select("vec_id", "embedding")
+    n = corpus.count()
+    lists = max(1, round(math.sqrt(n))) if lists is None else lists
+    chosen = corpus if n <= sample else corpus.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    fitted = unit_rows([r["embedding"] for r in chosen.orderBy("vec_id").collect()])
+    fitted = fitted[np.isfinite(fitted).all(axis=1)]
+    if not len(fitted):
+        fitted = np.zeros((1, max(1, corpus.agg(F.max(F.size("embedding"))).first()[0] or 1)))  # no direction at all: one list
+    centres = _means(fitted, lists, seed)
+    rest = fitted - centres[_near(fitted, centres)]
+    pieces = _pieces(fitted.shape[1])
+    cut = rest.reshape(len(rest), pieces, -1)
+    words = np.stack([_means(cut[:, p], WORDS, seed + p) for p in range(pieces)])
+    shared = corpus.sparkSession.sparkContext.broadcast((centres, words))
+
+    @F.pandas_udf("struct<list_id:int,code:binary>")
+    def placed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        centres, words = shared.value
+        for batch in batches:
+            if batch.empty:
+                yield pd.DataFrame({"list_id": pd.Series([], dtype="int32"), "code": pd.Series([], dtype=object)})
+                continue
+            x = unit_rows(batch)
+            of = _near(x, centres)
+            cut = (x - centres[of]).reshape(len(x), len(words), -1)
+            codes = np.stack([_near(cut[:, p], words[p]) for p in range(len(words))], axis=1).astype(np.uint8)
+            yield pd.DataFrame({"list_id": of.astype(np.int32), "code": [c.tobytes() for c in codes]})
 
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    units = (
-        corpus.withColumn("_len", length)
-        .where(F.col("_len") > 0)
-        .select(array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.col("_len"))).alias("features"))
-    )
-    model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features").fit(units)
-    return np.array(model.clusterCenters())
+    rows = written(corpus.withColumn("_p", placed("embedding")).select("vec_id", "embedding", "_p.list_id", "_p.code"), "vector-index")
+    sizes = np.zeros(len(centres), np.int64)
+    for r in rows.groupBy("list_id").count().collect():  # one row for each list
+        sizes[r["list_id"]] = r["count"]
+    return Index(centres, words, rows, sizes, *_settings(fitted, centres, words, n, k))
 
 
-def assign_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1) -> DataFrame:
-    """Adds ``list_id``: one row per vector and each of its ``probes`` nearest centroids."""
-    shared = vectors.sparkSession.sparkContext.broadcast(unit_rows(centroids))
+def _probed(queries: DataFrame, index: Index, k: int, probes: int) -> DataFrame:
+    """(query_id, embedding, list_id): the nearest lists of each query, and further ones until they hold ``k`` vectors."""
+    shared = queries.sparkSession.sparkContext.broadcast((index.centres, index.sizes))
 
     @F.pandas_udf("array<int>")
-    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            if batch.empty:
-                yield pd.Series([], dtype=object)
-                continue
-            distance = -(unit_rows(batch) @ shared.value.T)
-            _, ids = nearest(distance, np.arange(distance.shape[1]), probes)
-            yield pd.Series(list(ids.astype(np.int32)))
+    def nearest_lists(batch: pd.Series) -> pd.Series:
+        centres, sizes = shared.value
+        if batch.empty:
+            return pd.Series([], dtype=object)
+        square = (centres**2).sum(axis=1) - 2 * unit_rows(batch) @ centres.T
+        order = np.argsort(square, axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1)
+        enough = np.maximum((held < k).sum(axis=1) + 1, probes)
+        return pd.Series([o[:n].astype(np.int32) for o, n in zip(order, enough)])
+
+    return queries.withColumn("list_id", F.explode(nearest_lists("embedding")))
+
+
+def _score_codes(index: Index, wanted: int):
+    """The ``wanted`` vectors of a part of a list whose codes are nearest to each query."""
+    shared = index.rows.sparkSession.sparkContext.broadcast((index.centres, index.words))
+
+    def score(queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or part.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        centres, words = shared.value
+        q = unit_rows(queries["embedding"])
+        tables = np.einsum("qpw,pkw->qpk", q.reshape(len(q), len(words), -1), words)
+        codes = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
+        near = q @ centres[int(part["list_id"].iloc[0])]
+        distance = 1.0 - near[:, None] - sum(tables[:, p, codes[:, p]] for p in range(len(words)))
+        best, ids = nearest(distance, part["vec_id"].to_numpy(), wanted)
+        return _hits(queries["query_id"].to_numpy(), best, ids)
 
-    return vectors.withColumn("list_id", F.explode(closest("embedding")))
+    return score
 
 
 def vector_topk_ivf(
-    queries: DataFrame, corpus: DataFrame, k: int = K, lists: int = LISTS, probes: int = 10
-) -> DataFrame:
-    """Top k among the vectors of the nearest lists only.
-
-    Every list is cut into parts of bounded size, and a query visits all parts
-    of its lists, so one large list does not end up in one task.
+    queries: DataFrame, corpus: DataFrame, k: int = K, lists: int | None = None, probes: int | None = None,
+    shortlist: int | None = None, exact: bool = False, index: Index | None = None,
+) -> DataFrame:
+    """Top k among the vectors of the nearest lists.
+
+    A query looks at its ``probes`` nearest lists, and at more until they hold k vectors. Codes pick the ``shortlist``
+    nearest vectors, which are then compared exactly; both are the index's own unless given. ``exact`` compares all vectors of the lists: with all
+    lists the result is that of ``vector_topk``. A list is cut into parts of bounded size, and a query visits all of them,
+    so one large list doesn't end up in one task.
     """
-    queries, corpus = queries.select("query_id", "embedding"), corpus.select("vec_id", "embedding")
-    centroids = train_lists(corpus, lists)
-    probes = min(probes, len(centroids))
-    listed = assign_lists(corpus, centroids)
-    sizes = {r["list_id"]: r["n"] for r in listed.groupBy("list_id").agg(F.count("*").alias("n")).collect()}
-    parts = F.create_map(
-        *[F.lit(x) for i, n in sizes.items() for x in (i, math.ceil(n / CORPUS_BLOCK))]
-    )
-    n_parts = F.coalesce(parts[F.col("list_id")], F.lit(1))
-    theirs = listed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int"))
-    mine = assign_lists(queries, centroids, probes).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), n_parts - 1))
-    )
-    candidates = (
-        mine.groupBy("list_id", "part")
-        .cogroup(theirs.groupBy("list_id", "part"))
-        .applyInPandas(_score(k), _HITS)
-    )
+    queries = queries.select("query_id", "embedding")
+    index = index or build_index(corpus, lists, k=k)
+    if not index.sizes.any():
+        return queries.sparkSession.createDataFrame([], "query_id long, position int, vec_id long, distance double")
+    probes = index.probes if probes is None else probes
+    wanted = max(k, index.shortlist if shortlist is None else shortlist)
+    parts = F.array(*(F.lit(max(1, math.ceil(n / CORPUS_BLOCK))) for n in index.sizes.tolist()))
+    n_parts = F.get(parts, F.col("list_id"))
+    theirs = index.rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int"))
+    mine = _probed(queries, index, k, probes).withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    if exact:
+        score, brief = _score(k), theirs.drop("code")
+    else:
+        score, brief = _score_codes(index, wanted), theirs.drop("embedding")
+    candidates = mine.groupBy("list_id", "part").cogroup(brief.groupBy("list_id", "part")).applyInPandas(score, _HITS)
+    if not exact:
+        brief = top_n_per_key(candidates, ["query_id"], [F.col("distance"), F.col("vec_id")], wanted, "_n")
+        pairs = brief.select("query_id", "vec_id").join(index.rows.select("vec_id", F.col("embedding").alias("_v")), "vec_id")
+        pairs = pairs.join(queries, "query_id")
+        candidates = pairs.select("query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("_v")).alias("distance"))
     return _ranked(candidates, k)
 
 

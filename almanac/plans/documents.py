@@ -243,9 +243,25 @@ def vector_topk_blocks(t: Tables):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
-@query("vector_topk_ivf")
+@query(
+    "vector_topk_ivf",
+    "SELECT query_id, CAST(n AS INTEGER) AS position, vec_id, round(d, 6) AS distance FROM hits",
+    [],
+    _QUERIES,
+)
 def vector_topk_ivf(t: Tables):
-    return V.vector_topk_ivf(_label_queries(t), t.raw("embeddings"))
+    """All lists, each vector compared: the exact result by way of the index."""
+    hits = V.vector_topk_ivf(_label_queries(t), t.raw("embeddings"), probes=1 << 30, exact=True)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+@query("vector_ivf_recall", "SELECT count(DISTINCT label) AS n_queries, true AS enough FROM embeddings")
+def vector_ivf_recall(t: Tables):
+    """Do the nearest lists and codes find nine in ten of the exact hits?"""
+    queries, corpus = _label_queries(t), t.raw("embeddings")
+    found = V.vector_topk_ivf(queries, corpus)
+    share = V.recall(found, V.vector_topk(queries, corpus))
+    return share.crossJoin(queries.agg(F.count("*").alias("n_queries"))).select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query(

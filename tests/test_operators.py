@@ -241,8 +241,19 @@ def test_both_exact_paths_and_the_lists(spark):
     listed = V.vector_topk_ivf(queries, corpus, lists=10, probes=4)
     share = V.recall(listed, scanned).first()["recall"]
     assert 0.6 <= share <= 1.0
-    everything = V.vector_topk_ivf(queries, corpus, lists=10, probes=10)
-    assert V.recall(everything, scanned).first()["recall"] == 1.0
+    index = V.build_index(corpus, lists=10)
+    everything = V.vector_topk_ivf(queries, corpus, probes=10, exact=True, index=index)
+    assert rows(everything, "query_id", "position", "vec_id") == want
+    assert V.recall(V.vector_topk_ivf(queries, corpus, index=index), scanned).first()["recall"] >= 0.9
+
+
+def test_an_index_of_few_and_odd_vectors(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 0.0]), (4, [1.0, 1.0, 0.0])], "vec_id long, embedding array<float>")
+    queries = corpus.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = rows(V.vector_topk_ivf(queries, corpus.where("vec_id <> 3"), lists=2, probes=1), "query_id", "position", "vec_id")
+    assert found == [(1, 1, 1), (1, 2, 4), (1, 3, 2), (2, 1, 2), (2, 2, 4), (2, 3, 1)]  # further lists until five, or all, are found
+    assert {r["vec_id"] for r in V.build_index(corpus).rows.collect()} == {1, 2, 3, 4}
+    assert V.vector_topk_ivf(queries, corpus.limit(0)).collect() == []
 
 
 # --- questions -----------------------------------------------------------------------------------------
