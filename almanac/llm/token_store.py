@@ -26,20 +26,22 @@ from almanac.llm.common import worker_kept
 from almanac.session import shared_dir
 
 SHARD_IDS = 1_000_000  # ids of a shard, about: a shard ends with the document that reaches it
-ROUNDS = 6  # passes over a shard; each replaces many pairs that don't overlap
-RULES = 4096  # new symbols of a pass, at most
+RULES = 4096  # new symbols of a pass, at most; passes go on until no pair is frequent
 LEAST = 4  # a pair that occurs less often isn't worth a rule
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rounds: int = ROUNDS, rules: int = RULES):
-    """(rules, lengths, symbols, symbol ends) of documents that end at ``ends`` in ``ids``."""
+def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rules: int = RULES):
+    """(rules, lengths, symbols, symbol ends) of documents that end at ``ends`` in ``ids``.
+
+    Each pass replaces many pairs that don't overlap, the most frequent ones first, until none occurs ``LEAST`` times.
+    Pairs that only overlap with themselves may stay.
+    """
     seq = ids.astype(np.int64)
     close = np.zeros(len(seq), bool)  # the last symbol of a document
     close[ends[ends > 0] - 1] = True
     pairs, length = [], []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
+        before = len(seq)
         code = seq[:-1] << 32 | seq[1:]
         code[close[:-1]] = -1
         every, counts = np.unique(code[code >= 0], return_counts=True)
@@ -64,6 +66,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rounds: int =
         keep = np.ones(len(seq), bool)
         keep[place + 1] = False
         seq, close = seq[keep], close[keep]
+        if before - len(seq) < LEAST:
+            break  # a rule for so few places costs as much as it saves
     at_end = np.concatenate(([0], np.flatnonzero(close) + 1))
     nth = np.cumsum(np.diff(np.concatenate(([0], ends))) > 0)  # documents without ids end where the one before does
     return np.array(pairs, np.uint32).reshape(-1, 2), np.array(length, np.uint32), seq.astype(np.uint32), at_end[nth]
@@ -103,13 +107,12 @@ def _tokenizer(text: str):
     if key not in kept:
         kept.clear()
         kept[key] = Tokenizer.from_str(text)
-        kept[key].encode_special_tokens = True  # their strings in a text are ordinary text
     return kept[key]
 
 
 def write(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 2, first_symbol: int = 1 << 17,
           id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
-    """Encode every text with the tokenizers library, end it with ``end_id``, and write shards under ``path``.
+    """Encode every text with the tokenizers library, by its default also where a text holds a special token's string, end it with ``end_id``, and write shards under ``path``.
 
     Documents are parted by ranges of their id, and within a range sorted by id and text; null ids come first, equal ids
     are told apart by a hash of the text. Null and empty texts are the end id alone. A range makes shards of about
