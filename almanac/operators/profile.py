@@ -2,51 +2,41 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def profile_json_shape(docs: DataFrame, depth: int = 3, head: int = 4, tail: int = 2) -> DataFrame:
     """One row per JSON object down to ``depth``: its first and last keys and how many there are.
 
-    Keys are listed in text order. Every level reads the object text of the
-    level above, so only the skeleton is shuffled or kept.
+    Keys are listed in text order. A document is read once: the objects of each level come from the object texts of the level
+    above, inside its row, and only the skeleton leaves it.
     """
-    level = docs.select("file_id", F.lit("$").alias("path"), F.col("content").alias("body"))
-    levels = []
-    for n in range(depth):
-        objects = level.where(F.col("body").startswith("{")).select(
-            "file_id", "path", F.from_json("body", "map<string, string>").alias("m")
-        )
-        objects = objects.withColumn("keys", F.array_sort(F.map_keys("m")))
-        first = F.slice("keys", 1, head)
-        last = F.when(
-            F.size("keys") > head,
-            F.slice("keys", F.greatest(F.size("keys") - (tail - 1), F.lit(head + 1)), tail),
-        ).otherwise(F.array().cast("array<string>"))
-        shown = F.concat_ws(
-            ", ",
-            first,
-            F.when(
-                F.size("keys") > F.size(first) + F.size(last),
-                F.concat(
-                    F.lit("... ("),
-                    (F.size("keys") - F.size(first) - F.size(last)).cast("string"),
-                    F.lit(" more keys) ..."),
-                ),
-            ),
-            last,
-        )
-        levels.append(
-            objects.select(
-                "file_id", F.lit(n).alias("depth"), "path", F.size("keys").alias("n_keys"), shown.alias("keys")
+    node = "struct<depth:int,path:string,body:string>"
+    is_object = lambda n: n["body"].startswith("{")
+
+    def below(level: Column, n: int) -> Column:
+        def children(parent: Column) -> Column:
+            entries = F.map_entries(F.from_json(parent["body"], "map<string, string>"))
+            return F.transform(
+                entries,
+                lambda e: F.struct(F.lit(n).alias("depth"), F.concat_ws(".", parent["path"], e["key"]).alias("path"), e["value"].alias("body")),
             )
-        )
-        level = objects.select("file_id", "path", F.explode("m").alias("k", "body")).select(
-            "file_id", F.concat_ws(".", "path", "k").alias("path"), "body"
-        )
-    return reduce(DataFrame.unionByName, levels)
+
+        return F.filter(F.flatten(F.transform(level, children)), is_object)
+
+    levels = [F.filter(F.array(F.struct(F.lit(0).alias("depth"), F.lit("$").alias("path"), F.col("content").alias("body"))), is_object)]
+    for n in range(1, depth):
+        levels.append(below(levels[-1], n))
+    nodes = docs.select("file_id", F.inline(F.concat(*(x.cast(f"array<{node}>") for x in levels))))
+    keyed = nodes.select("file_id", "depth", "path", F.array_sort(F.json_object_keys("body")).alias("keys"))
+    first = F.slice("keys", 1, head)
+    last = F.when(
+        F.size("keys") > head,
+        F.slice("keys", F.greatest(F.size("keys") - (tail - 1), F.lit(head + 1)), tail),
+    ).otherwise(F.array().cast("array<string>"))
+    hidden = F.size("keys") - F.size(first) - F.size(last)
+    more = F.when(hidden > 0, F.concat(F.lit("... ("), hidden.cast("string"), F.lit(" more keys) ...")))
+    return keyed.select("file_id", "depth", "path", F.size("keys").alias("n_keys"), F.concat_ws(", ", first, more, last).alias("keys"))
 
 
 def profile_tabular(df: DataFrame) -> DataFrame:

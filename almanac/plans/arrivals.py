@@ -222,16 +222,16 @@ def stream_retry_logs(t: Tables):
 # --- files ------------------------------------------------------------------------------------
 
 
-def _land_documents(t: Tables) -> str:
-    """Document texts as landed objects."""
-    path = shared_dir(t.spark, "objects")
-    t.raw("documents").repartition(16, "doc_id").select(F.col("text").alias("value")).write.text(path)
-    return path
-
-
-@query("scan_bronze")
+@query(
+    "scan_bronze",
+    "SELECT lang AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, sum(strlen(text) + 1) > 0 AS found FROM documents GROUP BY ALL",
+)
 def scan_bronze(t: Tables):
-    return landing.scan_bronze(t.spark, _land_documents(t)).where(F.col("key").startswith("part-")).select("key", "length")
+    """Objects of a folder for each language: what they hold together, listed without a look at their bytes."""
+    path = shared_dir(t.spark, "objects")
+    t.raw("documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(path)
+    listed = landing.scan_bronze(t.spark, path).select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("folder"), "key", "length")
+    return listed.groupBy("folder").agg(F.sum("length").alias("bytes"), F.bool_or(F.col("key") != "").alias("found"))
 
 
 @query(
