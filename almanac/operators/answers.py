@@ -338,6 +338,9 @@ def _variant(seed: Column, templates: list[str], **parts: Column) -> Column:
 LISTED_COUNTRIES, LISTED_INDICATORS = 30, 20  # fixed values
 
 
+NO_LIST = "Não há dados disponíveis."  # fixed value: the answer where there is nothing to list
+
+
 def list_sentences(locations: DataFrame, indicators: DataFrame) -> DataFrame:
     """``tier, listing``: the first countries and indicators by name, and how many there are."""
     names = locations.select(F.col("name").alias("entry"))
@@ -371,10 +374,10 @@ def list_sentences(locations: DataFrame, indicators: DataFrame) -> DataFrame:
         bullets,
         F.format_string("\n... e mais %d.", F.col("n") - LISTED_INDICATORS),
     )
-    listed = F.when(F.col("n") <= LISTED_INDICATORS, few).otherwise(more)
+    listed = F.when(F.col("n") == 0, NO_LIST).when(F.col("n") <= LISTED_INDICATORS, few).otherwise(more)
     return (
         first(names, LISTED_COUNTRIES)
-        .select(F.lit("meta:list_countries").alias("tier"), countries.alias("listing"))
+        .select(F.lit("meta:list_countries").alias("tier"), F.when(F.col("n") == 0, NO_LIST).otherwise(countries).alias("listing"))
         .unionByName(
             first(codes, LISTED_INDICATORS).select(F.lit("meta:list_indicators").alias("tier"), listed.alias("listing"))
         )

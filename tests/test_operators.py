@@ -11,7 +11,7 @@ from pyspark.sql import functions as F, types as T
 
 from almanac.functions import wordlists as W
 from almanac.functions.fuzzy import partial_ratio
-from almanac.operators import job, spelling
+from almanac.operators import answers, job, spelling
 from almanac.operators import documents as D, ordering as O, quality as Q, questions as QU, registry as G, reshape as R
 from almanac.operators import vectors as V, warehouse as WH
 from almanac.operators.grid import header_promote
@@ -647,3 +647,12 @@ def test_aliases_reach_the_texts_and_only_hits_are_shuffled(spark, monkeypatch):
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
     many = spark.createDataFrame([(f"zz{i}", "n", i) for i in range(10_000)] + listed, "alias string, name string, place int")
     assert rows(QU.alias_hits(df, "q_id", "question", many), "q_id", "alias", "name", "place", "pos") == want
+
+
+def test_an_empty_warehouse_has_nothing_to_list(spark):
+    places = spark.createDataFrame([("Portugal",), ("Spain",)], "name string")
+    codes = spark.createDataFrame([("GDP", "Income", "S")], "indicator_code string, indicator_name string, source_system string")
+    full = {r["tier"]: r["listing"] for r in answers.list_sentences(places, codes).collect()}
+    assert full["meta:list_countries"].endswith("Portugal, Spain.") and "Income" in full["meta:list_indicators"]
+    empty = {r["tier"]: r["listing"] for r in answers.list_sentences(places.limit(0), codes.limit(0)).collect()}
+    assert empty == {"meta:list_countries": answers.NO_LIST, "meta:list_indicators": answers.NO_LIST}
