@@ -160,7 +160,7 @@ def running_stats(star: DataFrame, width: int = 3) -> DataFrame:
 def trend(star: DataFrame) -> DataFrame:
     """Least-squares slope per indicator and location over all years."""
     return star.groupBy("indicator_sk", "location_code").agg(
-        F.count("*").alias("n_values"), F.round(F.regr_slope("value", "year"), 4).alias("slope")
+        F.count("*").alias("n_values"), F.round(F.regr_slope("value", "year"), 6).alias("slope")
     )
 
 

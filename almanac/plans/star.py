@@ -420,7 +420,7 @@ def running_stats(t: Tables):
 
 @query(
     "trend",
-    """SELECT indicator_sk, location_code, count(*) AS n_values, round(regr_slope(value, year), 4) AS slope
+    """SELECT indicator_sk, location_code, count(*) AS n_values, round(regr_slope(value, year), 6) AS slope
        FROM star GROUP BY ALL""",
     ["star"],
 )
