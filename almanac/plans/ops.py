@@ -300,13 +300,11 @@ def patch_coalesce(t: Tables):
     "deletable_rows",
     """SELECT d.file_id, d.pipeline_status, coalesce(n, 0) AS n_facts,
          d.pipeline_status IN ('pending', 'failed') OR coalesce(n, 0) = 0 AS deletable
-       FROM op_data d LEFT JOIN (SELECT report_id, count(*) AS n FROM facts WHERE report_id IN (
-         SELECT report_id FROM op_report WHERE pipeline_status = 'done') GROUP BY ALL) USING (report_id)""",
-    ["op_data", "facts", "op_report"],
+       FROM op_data d LEFT JOIN (SELECT report_id, count(*) AS n FROM facts GROUP BY ALL) USING (report_id)""",
+    ["op_data", "facts"],
 )
 def deletable_rows(t: Tables):
-    done = t.op_report.where(F.col("pipeline_status") == "done").select("report_id")
-    return G.deletable_files(t.op_data, t.facts.join(done, "report_id", "left_semi"))
+    return G.deletable_files(t.op_data, t.facts)
 
 
 @query(

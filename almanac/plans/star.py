@@ -15,9 +15,15 @@ KEYS = "report_id, indicator_sk, location_code"
 # --- dimensions and load -------------------------------------------------------------
 
 
-@query("seed_dim_date", "SELECT * FROM dim_date", ["dim_date"])
+@query(
+    "seed_dim_date",
+    """SELECT CAST(y - lo + 1 AS INTEGER) AS date_id, CAST(y AS INTEGER) AS year FROM (
+         SELECT lo, unnest(range(lo, hi + 1)) AS y FROM (SELECT min(year(o_orderdate)) AS lo, max(year(o_orderdate)) AS hi FROM orders))""",
+)
 def seed_dim_date(t: Tables):
-    return t.dim_date
+    """The years from the first order to the last one."""
+    first, last = t.raw("orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    return W.seed_dim_date(t.spark, first, last)
 
 
 @query("seed_dim_location", "SELECT * FROM dim_location", ["dim_location"])
