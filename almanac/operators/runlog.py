@@ -110,3 +110,50 @@ def step_report(candidates: DataFrame, coverage: DataFrame, report_logs: DataFra
         .join(coverage.select("report_id", "indexed", "n_chunks"), "report_id", "left")
         .select("report_id", "step", "indexed", "n_chunks")
     )
+
+
+def run_report(files: DataFrame, logs: DataFrame, run_start: Column) -> DataFrame:
+    """The body of a run's report: ``section, file_id, place, line``, in that order to be read.
+
+    Sections 1 to 4 are the steps. A file has a line in each step that it reached, and its newest error of the run below it; every
+    error of the last step has lines of its own.
+    """
+    recent = logs.where(F.col("log_time") >= run_start).withColumn("file_id", F.col("file_id").cast("int"))
+    newest = last_per_key(recent, ["file_id", "step"], ["log_time", "id"], ["error_message"])
+    errors = newest.groupBy("file_id").agg(
+        *[F.max(F.when(F.col("step") == s, F.coalesce("error_message", F.lit("")))).alias(f"e_{s}") for s in STEPS[:3]]
+    )
+    ran = files.where(F.col("pipeline_status") != "pending").join(errors, "file_id", "left")
+    fid, url, status = F.col("file_id").cast("string"), F.coalesce("file_url", F.lit("")), F.col("pipeline_status")
+    bronze, silver, valid = (F.col(f"e_{s}") for s in STEPS[:3])
+    # The words and columns of the report.
+    why = lambda e: F.concat(F.lit("            Erro: "), e)
+    told = lambda word, *rest: F.concat(F.rpad(F.lit(f"  {word}"), 12, " "), F.lit("file_id="), fid, *rest)
+    one = lambda *lines: F.array(*lines)
+    arrived = (
+        F.when(url == "", one(told("UPLOAD", F.lit("  [ficheiro carregado via upload — ja no MinIO]"))))
+        .when(bronze.isNotNull(), one(told("ERRO", F.lit("  URL="), url), why(bronze)))
+        .otherwise(one(told("OK", F.lit("  URL="), url)))
+    )
+    shaped = (
+        F.when(silver.isNotNull(), one(told("ERRO"), why(silver)))
+        .when(status.isin("silver", "done"), one(told("OK", F.lit("  -> "), fid, F.lit(".parquet"))))
+        .when(status == "failed", one(told("FAILED"), why(F.lit("—"))))
+        .otherwise(one(F.concat(F.lit("  "), F.rpad(status, 9, " "), F.lit(" file_id="), fid)))
+    )
+    checked = F.when(valid.isNotNull(), one(told("INVALIDO"), why(valid))).otherwise(one(told("OK")))
+    transformed = bronze.isNull() | (url == "")
+    steps = [
+        (1, F.lit(True), arrived),
+        (2, transformed, shaped),
+        (3, transformed & silver.isNull() & status.isin("silver", "done"), checked),
+    ]
+    parts = [ran.where(reached).select(F.lit(n).alias("section"), "file_id", F.posexplode(lines).alias("place", "line")) for n, reached, lines in steps]
+    failed = number_rows(recent.where(F.col("step") == STEPS[3]), ["file_id"], [F.col("log_time"), F.col("id")], "_n")
+    lines = one(F.concat(F.lit("  ERRO      step=gold  file_id="), F.coalesce(fid, F.lit("—"))), why(F.coalesce("error_message", F.lit(""))))
+    last = failed.select(F.lit(4).alias("section"), "file_id", "_n", F.posexplode(lines).alias("_p", "line"))
+    parts.append(last.select("section", "file_id", (2 * F.col("_n") - 2 + F.col("_p")).cast("int").alias("place"), "line"))
+    body = parts[0]
+    for part in parts[1:]:
+        body = body.unionByName(part)
+    return body

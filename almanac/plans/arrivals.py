@@ -529,3 +529,34 @@ def pipeline_facts(t: Tables):
     (_, second), facts = _job(t)
     codes = second.indicators.select("indicator_sk", "indicator_code")
     return fact_store.read_facts(t.spark, facts).join(codes, "indicator_sk").select("report_id", "location_sk", "indicator_code", "date_id", "value")
+
+
+@query(
+    "run_report",
+    """SELECT 1 AS section, file_id, 0 AS place, CASE WHEN coalesce(file_url, '') = '' THEN '  UPLOAD    file_id=' || file_id || '  [ficheiro carregado via upload — ja no MinIO]'
+           WHEN eb IS NOT NULL THEN '  ERRO      file_id=' || file_id || '  URL=' || file_url ELSE '  OK        file_id=' || file_id || '  URL=' || file_url END AS line FROM ran
+       UNION ALL SELECT 1, file_id, 1, '            Erro: ' || eb FROM ran WHERE coalesce(file_url, '') <> '' AND eb IS NOT NULL
+       UNION ALL SELECT 2, file_id, 0, CASE WHEN es IS NOT NULL THEN '  ERRO      file_id=' || file_id
+           WHEN pipeline_status IN ('silver', 'done') THEN '  OK        file_id=' || file_id || '  -> ' || file_id || '.parquet'
+           WHEN pipeline_status = 'failed' THEN '  FAILED    file_id=' || file_id ELSE '  ' || rpad(pipeline_status, 9, ' ') || ' file_id=' || file_id END
+         FROM ran WHERE eb IS NULL OR coalesce(file_url, '') = ''
+       UNION ALL SELECT 2, file_id, 1, '            Erro: ' || coalesce(es, '—') FROM ran
+         WHERE (eb IS NULL OR coalesce(file_url, '') = '') AND (es IS NOT NULL OR pipeline_status = 'failed')
+       UNION ALL SELECT 3, file_id, 0, CASE WHEN ev IS NULL THEN '  OK        file_id=' ELSE '  INVALIDO  file_id=' END || file_id FROM reached
+       UNION ALL SELECT 3, file_id, 1, '            Erro: ' || ev FROM reached WHERE ev IS NOT NULL
+       UNION ALL SELECT 4, file_id, CAST(2 * n - 2 AS INTEGER), '  ERRO      step=gold  file_id=' || file_id FROM gold
+       UNION ALL SELECT 4, file_id, CAST(2 * n - 1 AS INTEGER), '            Erro: ' || coalesce(error_message, '') FROM gold""",
+    ["op_data", "logs"],
+    {
+        "recent": "SELECT id, CAST(file_id AS INTEGER) AS file_id, step, error_message, log_time FROM logs WHERE log_time >= TIMESTAMP '2024-01-05 00:00:00'",
+        "newest": "SELECT file_id, step, arg_max(coalesce(error_message, ''), (log_time, id)) AS e FROM recent GROUP BY ALL",
+        "ran": """SELECT d.*, b.e AS eb, s.e AS es, v.e AS ev FROM op_data d LEFT JOIN newest b ON b.file_id = d.file_id AND b.step = 'bronze'
+            LEFT JOIN newest s ON s.file_id = d.file_id AND s.step = 'silver' LEFT JOIN newest v ON v.file_id = d.file_id AND v.step = 'gold_validations'
+            WHERE pipeline_status <> 'pending'""",
+        "reached": "SELECT * FROM ran WHERE (eb IS NULL OR coalesce(file_url, '') = '') AND es IS NULL AND pipeline_status IN ('silver', 'done')",
+        "gold": "SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY log_time, id) AS n FROM recent WHERE step = 'gold'",
+    },
+)
+def run_report(t: Tables):
+    """The lines of a run's report, file by file."""
+    return runlog.run_report(t.op_data, t.logs, F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))

@@ -58,9 +58,13 @@ def scan_silver(spark: SparkSession, path: str, file_ids: list[int] | None = Non
     return rows.join(latest, ["file_id", "batch"], "left_semi").select(*schema.names)
 
 
-def write_run_report(funnel: DataFrame, path: str) -> None:
-    """One text line per step of a run."""
+def write_run_report(funnel: DataFrame, path: str, body: DataFrame | None = None) -> None:
+    """One text line per step of a run, and below them the lines of ``body`` (see ``runlog.run_report``), in order."""
     line = F.format_string(
         "[%d] %s  Total: %d  OK: %d  Erro: %d", "step_no", "step", "n_total", "n_ok", "n_error"
     )
-    funnel.orderBy("step_no").select(line.alias("value")).write.mode("overwrite").text(path)
+    lines = funnel.select(F.lit(0).alias("section"), F.col("step_no").alias("file_id"), F.lit(0).alias("place"), line.alias("line"))
+    if body is not None:
+        lines = lines.unionByName(body)
+    ordered = lines.orderBy("section", "file_id", "place").select(F.col("line").alias("value"))
+    ordered.write.mode("overwrite").text(path)

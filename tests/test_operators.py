@@ -1,5 +1,6 @@
 """Operators on hand-made tables, against brute force where SQL cannot say it."""
 
+import datetime as dt
 import io
 import random
 import re
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F, types as T
 
 from almanac.functions import wordlists as W
 from almanac.functions.fuzzy import partial_ratio
-from almanac.operators import answers, job, spelling
+from almanac.operators import answers, job, runlog, spelling
 from almanac.operators import documents as D, ordering as O, quality as Q, questions as QU, registry as G, reshape as R
 from almanac.operators import vectors as V, warehouse as WH
 from almanac.operators.grid import header_promote
@@ -656,3 +657,27 @@ def test_an_empty_warehouse_has_nothing_to_list(spark):
     assert full["meta:list_countries"].endswith("Portugal, Spain.") and "Income" in full["meta:list_indicators"]
     empty = {r["tier"]: r["listing"] for r in answers.list_sentences(places.limit(0), codes.limit(0)).collect()}
     assert empty == {"meta:list_countries": answers.NO_LIST, "meta:list_indicators": answers.NO_LIST}
+
+
+def test_a_run_report_has_its_lines_in_order(spark):
+    files = spark.createDataFrame([(1, "http://a", "silver"), (2, None, "failed"), (3, "http://c", "failed"), (4, "http://d", "pending")], "file_id int, file_url string, pipeline_status string")
+    day = dt.datetime(2024, 1, 5)
+    logs = [(1, "3", "bronze", "gone", day), (2, "3", "bronze", "gone again", day), (3, "1", "gold", None, day), (4, "2", "silver", "old", dt.datetime(2024, 1, 4))]
+    logs = spark.createDataFrame(logs, "id long, file_id string, step string, error_message string, log_time timestamp_ntz")
+    start = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
+    path = shared_dir(spark, "report-test")
+    silver_store.write_run_report(runlog.run_funnel(files, logs, start), path, runlog.run_report(files, logs, start))
+    lines = [r["value"] for r in spark.read.text(path).coalesce(1).collect()]
+    body = [x for x in lines if not x.startswith("[")]
+    assert len(lines) - len(body) == 4 and body == [
+        "  OK        file_id=1  URL=http://a",
+        "  UPLOAD    file_id=2  [ficheiro carregado via upload — ja no MinIO]",
+        "  ERRO      file_id=3  URL=http://c",
+        "            Erro: gone again",
+        "  OK        file_id=1  -> 1.parquet",
+        "  FAILED    file_id=2",
+        "            Erro: —",
+        "  OK        file_id=1",
+        "  ERRO      step=gold  file_id=1",
+        "            Erro: ",
+    ]
