@@ -266,7 +266,8 @@ def read_csv_infer(t: Tables):
 def read_xml_rows(t: Tables):
     path = shared_dir(t.spark, "xml")
     columns = ["report_id", "location_code", "indicator_code", "year", "value"]
-    t.star.select(*columns).write.format("xml").option("rowTag", "row").save(path)
+    # files of some ten megabytes, as many as the rows take: a landed object is read by one task
+    t.star.select(*columns).write.format("xml").options(rowTag="row", maxRecordsPerFile=250_000).save(path)
     broken = t.op_data.select(F.concat(F.lit("<ROWS><row><report_id>"), "report_id", F.lit("</report_id><row></ROWS>")).alias("value"))
     broken.write.mode("append").text(path)
     return landing.read_xml_rows(t.spark, path).where("error is null").select(*columns)

@@ -456,6 +456,24 @@ def test_xml_rows_have_types_and_errors(spark):
     assert [g for g in got if g[0] < 4] == [(1, 1, "é", True), (1, 2, None, True), (2, None, None, False)]
 
 
+def test_long_xml_is_parsed_in_pieces(spark):
+    """A fault in the last piece drops the rows of all pieces; objects may share a number or have none."""
+    fields = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    body = "".join(f"<!-- <row> --><row><a>{i}</a><b><![CDATA[</row>é{i}]]></b></row><other><row><a>-1</a></row></other>" for i in range(200))
+    docs = [
+        (1, f"<?xml version='1.0' encoding='ISO-8859-1'?><x:é k='v'>{body}</x:é>"), (1, f"<x>{body}</y>"), (None, f"<x>{body}"), (2, f"<x>{body}</x>"),
+        (3, f"<!DOCTYPE x [<!ELEMENT x ANY>]><x>{body}</x>"), (4, "<x/>"),
+    ]
+    assert len(list(reading._pieces_of(docs[0][1].encode(), 300))) > 20 and len(list(reading._pieces_of(docs[4][1].encode(), 300))) == 1
+    df = spark.createDataFrame([(i, bytearray(d.encode())) for i, d in docs], "file_id int, content binary")
+    got = [tuple(r) for r in reading.read_xml(df, fields, piece=300).collect()]
+    whole = [tuple(r) for r in reading.read_xml(df, fields).collect()]
+    assert sorted(got, key=str) == sorted(whole, key=str)
+    assert sorted(g[2:] for g in got if g[0] == 1 and g[1] is None) == [(i, f"</row>é{i}") for i in range(200)]
+    assert sorted((g[0] or 0) for g in got if g[1] is not None and g[0] != 3) == [0, 1]
+    assert sorted((r["file_id"] or 0) for r in reading.xml_errors(df, piece=300).collect() if r["file_id"] != 3) == [0, 1]
+
+
 def test_cells_of_a_workbook_that_breaks_off_are_left_out(spark):
     """The error comes after a batch of cells has left the task."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
