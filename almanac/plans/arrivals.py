@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
-from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -273,17 +272,11 @@ def read_xml_rows(t: Tables):
     return landing.read_xml_rows(t.spark, path).where("error is null").select(*columns)
 
 
-def _book(cells: pd.DataFrame) -> bytes:
-    """A one-sheet workbook; a file has one sheet row per country, so it stays small."""
+def _book(sheet: str) -> bytes:
+    """A one-sheet workbook around the rows of its sheet."""
     out = io.BytesIO()
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    rows = []
-    for r, row in cells.sort_values(["r", "c"]).groupby("r"):
-        body = "".join(
-            f'<c r="{chr(65 + c)}{r + 1}" t="inlineStr"><is><t>{escape(x)}</t></is></c>' for c, x in zip(row["c"], row["text"])
-        )
-        rows.append(f'<row r="{r + 1}">{body}</row>')
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         book.writestr("[Content_Types].xml", "<Types/>")
         book.writestr(
@@ -293,12 +286,28 @@ def _book(cells: pd.DataFrame) -> bytes:
         book.writestr(
             "xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>'
         )
-        book.writestr(
-            "xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(rows)}</sheetData></worksheet>'
-        )
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
     return out.getvalue()
 
 
+def _books_of(cells: DataFrame) -> DataFrame:
+    """(file_id, content): a workbook of the cells of each file. A file has one sheet row per country, so it stays small."""
+
+    @F.pandas_udf("binary")
+    def book(sheets: pd.Series) -> pd.Series:
+        return sheets.map(_book)
+
+    text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    number = (F.col("r") + 1).cast("string")
+    cell = F.concat(F.lit('<c r="'), F.char(65 + F.col("c")), number, F.lit('" t="inlineStr"><is><t>'), text, F.lit("</t></is></c>"))
+    placed = F.array_sort(F.collect_list(F.struct("c", cell.alias("x"))))
+    row = F.concat(F.lit('<row r="'), number, F.lit('">'), F.array_join(placed["x"], ""), F.lit("</row>"))
+    # the cells of a file meet once, by the file alone
+    rows = cells.repartition("file_id").groupBy("file_id", "r").agg(row.alias("x"))
+    sheet = F.array_join(F.array_sort(F.collect_list(F.struct("r", "x")))["x"], "")
+    return rows.groupBy("file_id").agg(sheet.alias("sheet")).select("file_id", book("sheet").alias("content"))
+
+
 @query(
     "read_workbook_grid",
     f"""SELECT file_id, 'Sheet1' AS sheet, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, text FROM (
@@ -326,10 +335,7 @@ def read_workbook_grid(t: Tables):
 
 
 def _books(t: Tables) -> DataFrame:
-    def make(cells: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"file_id": [cells["file_id"].iloc[0]], "content": [_book(cells)]})
-
-    return L.offset_header(t).groupBy("file_id").applyInPandas(make, "file_id int, content binary")
+    return _books_of(L.offset_header(t))
 
 
 def _half(content: str) -> Column:
@@ -461,12 +467,8 @@ def _job(t: Tables):
     fid, source = F.col("file_id"), idiv("file_id", 100) % 5
     docs = L.nested_json(t).where(source.isin(0, 3)).select("file_id", F.lit("json").alias("format"), F.col("content").cast("binary").alias("content"))
     docs = docs.withColumn("content", F.when(fid % 13 == 0, F.lit(b"{}")).otherwise(F.col("content")))
-
-    def make(cells: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"file_id": [cells["file_id"].iloc[0]], "format": ["excel"], "content": [_book(cells)]})
-
     grids = L.offset_header(t).where(source == 1).unionByName(L.country_names(t).where(source == 2))
-    books = grids.groupBy("file_id").applyInPandas(make, "file_id int, format string, content binary")
+    books = _books_of(grids).withColumn("format", F.lit("excel"))
     objects = written(docs.unionByName(books), "objects")
     objects = objects.withColumn("content", F.when(fid % 11 == 0, _half("content")).otherwise(F.col("content")))
     files = t.op_data.withColumn("pipeline_status", F.when(F.col("pipeline_status") == "done", "done").otherwise("bronze"))

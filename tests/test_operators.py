@@ -456,6 +456,26 @@ def test_xml_rows_have_types_and_errors(spark):
     assert [g for g in got if g[0] < 4] == [(1, 1, "é", True), (1, 2, None, True), (2, None, None, False)]
 
 
+def test_workbooks_are_written_from_cells_in_any_order(spark):
+    from almanac.plans.arrivals import _books_of
+
+    cells = [(1, "S", r, c, f"{r}<&>{c}é") for r in (11, 0, 2) for c in (10, 2, 0)] + [(2, "S", 0, 0, "x")]
+    df = spark.createDataFrame(cells, "file_id int, sheet string, r int, c int, text string")
+    books = {r["file_id"]: bytes(r["content"]) for r in _books_of(df).collect()}
+    assert [c[1:] for c in cells_of(books[1])] == sorted(c[2:] for c in cells if c[0] == 1)
+    assert list(cells_of(books[2])) == [("Sheet1", 0, 0, "x")]
+
+
+def test_sheets_are_read_the_same_in_one_go_and_in_rows(spark, monkeypatch):
+    from almanac.plans.arrivals import _book
+    from almanac.sources import workbook
+
+    book = _book("".join(f'<row r="{r}"><c r="AB{r}"><v>{r}</v></c><c r="B{r}"/><c r="C{r}" t="inlineStr"><is><t>é</t></is></c></row>' for r in (1, 7)))
+    whole = list(cells_of(book))
+    monkeypatch.setattr(workbook, "_SMALL", 0)
+    assert whole == list(cells_of(book)) == [("Sheet1", 0, 27, "1"), ("Sheet1", 0, 2, "é"), ("Sheet1", 6, 27, "7"), ("Sheet1", 6, 2, "é")]
+
+
 def test_long_xml_is_parsed_in_pieces(spark):
     """A fault in the last piece drops the rows of all pieces; objects may share a number or have none."""
     fields = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
