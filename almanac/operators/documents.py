@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from almanac.functions.splitting import split_text
 from almanac.functions.text import cell_join
@@ -13,6 +13,7 @@ from almanac.functions.text import cell_join
 # Chunk size and overlap in characters, and the mark before a table.
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
+HELD = 1 << 20  # characters of chunks that leave a task at once
 TABLE_MARK = "[TABELA]\n"
 _BLANK = " \t\n\r"
 
@@ -58,13 +59,32 @@ def bbox_exclude(words: DataFrame, boxes: DataFrame, slack: float = 1.0) -> Data
 def chunk_recursive(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Pages ``(source, page, text)`` to chunks with their place on the page."""
 
-    @F.pandas_udf("array<string>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda text: split_text(text, size, overlap))
+    keys = pages.select("source", "page").schema.fields
+    schema = T.StructType([*keys, T.StructField("idx", T.IntegerType()), T.StructField("text", T.StringType())])
 
-    split = pages.where(F.col("text").isNotNull()).select("source", "page", pieces("text").alias("pieces"))
-    return split.select("source", "page", F.posexplode("pieces").alias("idx", "text"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, chunks, held = [], [], [], 0
+
+            def taken() -> pa.RecordBatch:
+                keys = batch.select([0, 1]).take(pa.array(rows, pa.int64())).columns
+                cut = [pa.array(places, pa.int32()), pa.array(chunks, batch.schema.field(2).type)]
+                return pa.RecordBatch.from_arrays([*keys, *cut], schema.names)
+
+            # chunks leave by the megabyte: what a worker holds doesn't grow with the rows of a batch
+            for i, text in enumerate(batch.column(2)):
+                for place, chunk in enumerate(split_text(text.as_py(), size, overlap)):
+                    rows.append(i)
+                    places.append(place)
+                    chunks.append(chunk)
+                    held += len(chunk)
+                    if held >= HELD:
+                        yield taken()
+                        rows, places, chunks, held = [], [], [], 0
+            if rows:
+                yield taken()
+
+    return pages.where(F.col("text").isNotNull()).select("source", "page", "text").mapInArrow(split, schema)
 
 
 def chunk_fixed(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

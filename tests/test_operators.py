@@ -456,6 +456,21 @@ def test_xml_rows_have_types_and_errors(spark):
     assert [g for g in got if g[0] < 4] == [(1, 1, "é", True), (1, 2, None, True), (2, None, None, False)]
 
 
+def test_chunks_leave_in_small_batches(spark, monkeypatch):
+    """A worker holds the chunks of some characters, whatever the rows of its batch; long texts are in several batches."""
+    from almanac.functions.splitting import split_text
+    from almanac.operators import documents as D
+
+    monkeypatch.setattr(D, "HELD", 900)
+    texts = [("a", 1, "wort " * 700), (None, None, "x" * 1300 + "\n\né"), ("a", 1, ""), ("b", 2, None), ("a", 1, "kurz")]
+    df = spark.createDataFrame(texts, "source string, page int, text string").coalesce(1)
+    chunks = D.chunk_recursive(df)
+    got = sorted((tuple(r) for r in chunks.collect()), key=str)
+    want = [(s, p, i, c) for s, p, x in texts if x for i, c in enumerate(split_text(x))]
+    assert got == sorted(want, key=str)
+    assert "MapInArrow" in chunks._jdf.queryExecution().executedPlan().toString()
+
+
 def test_workbooks_are_written_from_cells_in_any_order(spark):
     from almanac.plans.arrivals import _books_of
 
