@@ -11,11 +11,13 @@ shingles in common. All sets share one order of shingles: those that are frequen
 * **The boundary** is the size x with the least cost: subsets listed by sets up to x, and list entries read by sets
   beyond. Sets just below x are in both, since a set above x may link with them.
 
-Lists aren't expanded into pairs while that can be avoided. In a few rounds every set is compared with one set of another
-component from one of its lists, chosen by an order that all lists share; a group of near copies becomes one component
-after comparisons in proportion to its size. Sets that are in fewer than l lists with sets of other components drop out
-after each round. Then every pair of two components that still has l lists in common is compared, so no link is lost,
-whatever the rounds found.
+Lists of the same sets, such as those of a passage that some texts share, are one list with a weight. Lists aren't
+expanded into pairs while that can be avoided. In a few rounds every set is compared with one set of another component
+from one of its lists, chosen by an order that all lists share; a group of near copies becomes one component after
+comparisons in proportion to its size. Sets that are in fewer than l lists with sets of other components drop out after
+each round. Then every pair of two components that still has l lists in common is compared, so no link is lost, whatever
+the rounds found; the join of the lists compares sketches, so only pairs that may link become rows, and those whose
+first lists meet become one row.
 """
 
 import gc
@@ -38,11 +40,12 @@ PERCENT = 75
 FREQUENT = 200_000  # shingles that the order knows to be frequent; what it knows never changes results
 LARGEST_SUBSETS = 14  # the boundary is at most here: above, a set has thousands of subsets
 ROUNDS = 8
-PAIRS = 16  # where lists have so many pairs an entry at most, they are all looked at, and no further round is made
+PAIRS = 256  # where lists have so many pairs an entry at most, their sketches are all compared, and no further round is made
 FLUSH = 1_000_000  # shingles that are counted together in one task
 WORDS = 150_000  # words whose hashes a task remembers
 SALTS = 64  # a frequent shingle's list is dealt over so many tasks
 BITMAP = 1 << 22
+FIRST = 8  # of two sets that share one of so many first lists, the pair is a row of one list only
 SKETCH = 1024  # bits of a set's sketch
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -300,19 +303,23 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (u, v) is connected with.
 
     Alternating large-star and small-star steps. Each is a minimum per node, combined before the shuffle, and a join.
+    After ``steps`` of both, if given, the label is a smaller node that the node is connected with, not always the smallest,
+    and nodes without one are left out.
     """
     edges = written(edges.where("u != v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), "edges")
     before = None
-    while True:
+    for step in itertools.count(1):
         both = edges.union(edges.selectExpr("v u", "u v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").selectExpr("v u", "m v").where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").selectExpr("inline(array(struct(v u, m v), struct(u u, m v)))").where("u != v")
+        if step == steps:
+            return small.selectExpr("greatest(u, v) u", "least(u, v) v").groupBy("u").agg(F.min("v")).toDF("node", "label")
         edges = written(small.selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), "edges")
         # the graph has settled when a step leaves its edges as they were
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -375,18 +382,21 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     return found.select("a", F.size("h").alias("n"), "s", "h").dropDuplicates(["a"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets link. Sketches part most of the others, so few pairs meet their shingles."""
-    differ = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (t, c) -> t + c)")
-    allowed = F.expr(f"un + vn - 2 * (({percent} * (un + vn) + {99 + percent}) div {100 + percent})")  # see required
+def _near(percent: int):
+    """Whether sketches x and y of sets of un and vn shingles allow a link, see ``required``."""
+    differ = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(SKETCH // 64))
+    return F.expr(f"{differ} <= un + vn - 2 * (({percent} * (un + vn) + {99 + percent}) div {100 + percent})")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sketches allow a link."""
     brief = sets.select("a", "n", "s")
-    close = (
-        pairs.join(brief.selectExpr("a u", "n un", "s x"), "u")
-        .join(brief.selectExpr("a v", "n vn", "s y"), "v")
-        .where(differ <= allowed)
-        .select("u", "v")
-    )
-    close = written(close, "close")
+    there = pairs.join(brief.selectExpr("a u", "n un", "s x"), "u").join(brief.selectExpr("a v", "n vn", "s y"), "v")
+    return there.where(_near(percent)).select("u", "v")
+
+
+def _linked(close: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets link."""
     both = F.size(F.array_intersect("x", "y"))
     return (
         close.join(sets.selectExpr("a u", "h x"), "u")
@@ -396,11 +406,46 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _merged(lists: DataFrame) -> DataFrame:
+    """(key, a, n, w): of the lists with the same sets one, and how many there are; lists of one set go.
+
+    Lists count as the same by 128 bits of hashes of their sets and by their lengths.
+    """
+    prints = lists.groupBy("key").agg(
+        F.count("*").alias("c"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("a", F.lit(2))).alias("y")
+    )
+    one = prints.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("w"))
+    return lists.join(one.select("key", "w"), "key").select("key", "a", "n", "w")
+
+
+def _needed(percent: int):
+    """How many lists a set of n shingles has in common with one that it links with, at least, see ``least_shared``."""
+    return F.expr(f"greatest(1, (({percent} * n + 99) div 100) div 20)")
+
+
 def _hopeful(lists: DataFrame, percent: int) -> DataFrame:
     """Entries of sets that are in as many lists as a link needs; the smaller of two linked sets may be of the least size."""
-    needed = F.expr(f"greatest(1, (({percent} * n + 99) div 100) div 20)")
-    own = F.count("*").over(Window.partitionBy("a"))  # a set has as many entries as its prefix is long, at most
-    return lists.withColumn("_own", own).where(F.col("_own") >= needed).drop("_own")
+    own = (F.sum("w") if "w" in lists.columns else F.count("*")).over(Window.partitionBy("a"))  # a set has as many entries as its prefix is long, at most
+    return lists.withColumn("_own", own).where(F.col("_own") >= _needed(percent)).drop("_own")
+
+
+def _met(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of different labels that have enough lists in common for a link, and whose sketches allow one.
+
+    Lists have one order, the long ones last. The first list that two linked sets share is followed, in either, by all
+    others that they share, so entries with less weight from there on than a link needs are left out. Where the first
+    lists of two sets meet, the pair is made in the first list that they share among those, otherwise in all.
+    """
+    fits, key = _compatible(percent), F.struct("c", "key")
+    there = lists.select("key", "a", "n", "w", "label").join(lists.groupBy("key").agg(F.count("*").alias("c")), "key")
+    after = F.sum("w").over(Window.partitionBy("a").orderBy(F.desc("c"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
+    there = written(there.withColumn("_after", after).where(F.col("_after") >= _needed(percent)), "entries")
+    # a set has as many lists as its prefix is long, at most
+    first = there.groupBy("a").agg(F.transform(F.slice(F.array_sort(F.collect_list(key)), 1, FIRST), lambda x: x["key"]).alias("f"))
+    ours = there.join(first.join(sets.select("a", "s"), "a"), "a")
+    pairs = ours.selectExpr("key", "a u", "n un", "label ul", "f uf", "s x").join(ours.selectExpr("key", "a v", "n vn", "label vl", "f vf", "s y"), "key")
+    pairs = pairs.where("ul < vl").where(fits("un", "vn")).where(_near(percent))
+    return pairs.where("coalesce(get(array_intersect(uf, vf), 0), key) = key").select("u", "v").distinct()
 
 
 def _compatible(percent: int) -> Callable[[str, str], object]:
@@ -453,6 +498,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: s
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)  # the lists have them now
     _release(spark)
     lists = written(_hopeful(lists.join(sets.select("a", "n"), "a"), percent).select("key", "a", "n"), "lists")
+    lists = written(_hopeful(_merged(lists), percent), "merged")
     labels = written(_joined(docs, lists, sets, size, percent), "labels")
     ids = sets.join(labels, sets.a == labels.node, "left").select("a", F.coalesce("label", "a").alias("label"), "id")
     least = ids.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -471,9 +517,9 @@ def _joined(docs: DataFrame, lists: DataFrame, sets: DataFrame, size: int, perce
     spark = docs.sparkSession
     with small_batches(spark):
         shingles = written(_sets(docs, size, wanted), "shingles")
-    labels = spark.createDataFrame([], "node bigint, label bigint")
+    labels, known = spark.createDataFrame([], "node bigint, label bigint"), None
     for turn in range(ROUNDS + 1):
-        now = lists.select("key", "a", "n").join(labels.withColumnRenamed("node", "a"), "a", "left")
+        now = lists.select("key", "a", "n", "w").join(labels.withColumnRenamed("node", "a"), "a", "left")
         now = now.withColumn("label", F.coalesce("label", "a"))
         # two sets of different components, the same in all lists that have them
         order = F.struct(F.xxhash64("label", F.lit(turn)), F.xxhash64("a", F.lit(turn)), "label", "a", "n")
@@ -490,22 +536,22 @@ def _joined(docs: DataFrame, lists: DataFrame, sets: DataFrame, size: int, perce
         last = turn == ROUNDS or turn and left <= PAIRS * entries
         if not last:
             other = F.when(F.col("label") != F.col("p.label"), F.col("p")).otherwise(F.col("q"))
-            pairs = lists.select("a", "n", other.alias("o")).where(fits("n", "o.n")).groupBy("a", "o").count()
+            pairs = lists.select("a", "n", "w", other.alias("o")).where(fits("n", "o.n")).groupBy("a", "o").agg(F.sum("w").alias("count"))
             # of the sets that its lists chose, the one that most of them did
             pairs = pairs.groupBy("a").agg(F.max(F.struct("count", "o")).alias("best"))
             pairs = pairs.selectExpr("least(a, best.o.a) u", "greatest(a, best.o.a) v").distinct()
+            close = _close(pairs, shingles, percent)
         else:
-            ours = lists.selectExpr("key", "a u", "n un", "label ul")
-            pairs = ours.join(lists.selectExpr("key", "a v", "n vn", "label vl"), "key")
-            pairs = pairs.where("ul < vl").where(fits("un", "vn")).groupBy("u", "v", F.least("un", "vn").alias("n")).count()
-            pairs = pairs.where("count >= greatest(1, n div 20)").select("u", "v")  # see least_shared
-        links = written(_linked(pairs, shingles, percent), "links")
+            close = _met(lists, shingles, percent)
+        links = written(_linked(written(close, "close"), shingles, percent), "links")
         _release(spark)
         if not links.isEmpty():
-            labels = components(links.union(labels.select("node", "label")))
+            known = links if known is None else known.union(links)
+            if not last:  # any label of the same component will do until the end
+                labels = written(components(known, steps=1), "some")
         if last:
             break
-    return labels
+    return components(known) if known is not None else labels
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
