@@ -27,7 +27,9 @@ from almanac.session import shared_dir
 
 SHARD_IDS = 1_000_000  # ids of a shard, about: a shard ends with the document that reaches it
 RULES = 4096  # new symbols of a pass, at most; passes go on until no pair is frequent
+HASHED = 20  # bits of the hash that pairs are counted by first
 LEAST = 4  # a pair that occurs less often isn't worth a rule
+_ODD = np.int64(-0x61C8864680B583EB)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rules: int = RULES):
@@ -44,24 +46,32 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rules: int =
         before = len(seq)
         code = seq[:-1] << 32 | seq[1:]
         code[close[:-1]] = -1
-        every, counts = np.unique(code[code >= 0], return_counts=True)
+        # most pairs are rare: those that share a hash with too few others needn't be sorted
+        h = (code * _ODD >> (64 - HASHED)) + (1 << HASHED - 1)
+        few = np.bincount(h[code >= 0], minlength=1 << HASHED) < LEAST
+        every, counts = np.unique(code[(code >= 0) & ~few[h]], return_counts=True)
         every, counts = every[counts >= LEAST], counts[counts >= LEAST]
         if not len(every):
             break
         best = np.argsort(-counts, kind="stable")[:rules]
         chosen = np.sort(every[best])
-        at = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        place = np.flatnonzero(chosen[at] == code)
+        maybe = np.zeros(1 << HASHED, bool)
+        maybe[(chosen * _ODD >> (64 - HASHED)) + (1 << HASHED - 1)] = True
+        place = np.flatnonzero(maybe[h])
+        at = np.minimum(np.searchsorted(chosen, code[place]), len(chosen) - 1)
+        there = chosen[at] == code[place]
+        place, at = place[there], at[there]
         # of matches that overlap, every other one from the left is replaced
         run = np.concatenate(([True], np.diff(place) > 1))
         start = np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))
-        place = place[(np.arange(len(place)) - start) % 2 == 0]
+        there = (np.arange(len(place)) - start) % 2 == 0
+        place, at = place[there], at[there]
         base = first_symbol + len(pairs)
         new = [(int(c >> 32), int(c & 0xFFFFFFFF)) for c in chosen]
         size = lambda s: 1 if s < first_symbol else length[s - first_symbol]
         length += [size(a) + size(b) for a, b in new]
         pairs += new
-        seq[place] = base + at[place]
+        seq[place] = base + at
         close[place] |= close[place + 1]
         keep = np.ones(len(seq), bool)
         keep[place + 1] = False

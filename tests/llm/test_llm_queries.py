@@ -176,6 +176,15 @@ def test_re_pair_is_lossless():
     assert list(token_store.expand(symbols, rules, lengths, 1000)) == list(ids)
 
 
+def test_re_pair_sorts_only_pairs_that_may_be_frequent(monkeypatch):
+    rng, sizes, unique = np.random.default_rng(3), [], np.unique
+    ids = np.concatenate([rng.integers(0, 100_000, 50_000), np.tile([7, 8, 9], 100)]).astype(np.uint32)
+    monkeypatch.setattr(np, "unique", lambda x, **kw: sizes.append(len(x)) or unique(x, **kw))
+    rules, lengths, symbols, _ = token_store.compress(ids, np.array([len(ids)]), 1 << 17)
+    assert sizes[0] < len(ids) / 10 and list(token_store.expand(symbols, rules, lengths, 1 << 17)) == list(ids)
+    assert (7, 8) in map(tuple, rules.tolist()) or (8, 9) in map(tuple, rules.tolist())
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><style>x</style></head><body><nav><a>menu</a></nav><div class="top-banner">ad</div><article><h1>A &amp; b</h1><p>one<br>two <i>three</i><p>four&nbsp; five<script>var t="</p>"</script><section class="comments"><p>nice</p></section></article><footer>f</footer>'
     data = [(1, "http://a/1", page, "old"), (2, None, None, "old"), (3, "u", "", "old"), (4, "http://b/", "plain &lt; text < 3", "old")]
@@ -265,6 +274,28 @@ def test_bounds_of_links():
                 assert jaccard_join.required(m, m) in jaccard_join.subset_sizes(n) and jaccard_join.required(m, m) <= o
 
 
+def test_lists_make_one_row_for_a_pair_that_may_link(spark):
+    base = np.arange(400)
+    docs = [(i, " ".join(map(str, np.concatenate([base[: 300 if i < 60 else 400], i * 1_000 + 1_000 + np.arange(200 if i < 60 else 4)])))) for i in range(64)]
+    df = spark.createDataFrame(docs, "id int, text string")
+    sets = jaccard_join.Shingler()([text for _, text in docs])
+    entries = [(int(k), i, len(s), i) for i, s in enumerate(sets) for k in s.view(np.int64)]
+    lists = spark.createDataFrame(entries, "key long, a long, n long, label long")
+    merged = jaccard_join._merged(lists).cache()
+    assert merged.count() < 64 * 5 and merged.groupBy("a").agg({"w": "sum"}).first()[1] >= 296  # 396 lists in common, but few kinds
+    shingles = spark.createDataFrame([(i, len(s), jaccard_join.sketch(s).tolist()) for i, s in enumerate(sets)], "a long, n long, s array<long>")
+    met = jaccard_join._met(merged.withColumn("label", merged.a), shingles, 75)
+    assert sorted((r.u, r.v) for r in met.collect()) == list(itertools.combinations(range(60, 64), 2))  # not those of 300 shared words
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(df, id_col="id").collect()}
+    assert got == brute_components(docs)
+
+
+def test_some_steps_give_labels_of_the_same_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
+    some = jaccard_join.components(edges, steps=1).collect()
+    assert len({r.node for r in some}) == len(some) and all(r.label < r.node and (r.label < 100) == (r.node < 100) for r in some)
+
+
 def test_join_of_odd_rows(spark, odd, none):
     got = jaccard_join.classes(odd).collect()
     assert sorted((r.id, r.component_id) for r in got if r.id in (0, 1, 4, 5)) == [(0, 0), (1, 1), (4, 4), (4, 4), (5, 4)]
