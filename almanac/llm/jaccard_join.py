@@ -16,8 +16,8 @@ expanded into pairs while that can be avoided. In a few rounds every set is comp
 from one of its lists, chosen by an order that all lists share; a group of near copies becomes one component after
 comparisons in proportion to its size. Sets that are in fewer than l lists with sets of other components drop out after
 each round. Then every pair of two components that still has l lists in common is compared, so no link is lost, whatever
-the rounds found; the join of the lists compares sketches, so only pairs that may link become rows, and those whose
-first lists meet become one row.
+the rounds found; the join of the lists compares sketches, so only pairs that may link become rows, and those that
+share one of their longest lists become one row.
 """
 
 import gc
@@ -45,7 +45,7 @@ FLUSH = 1_000_000  # shingles that are counted together in one task
 WORDS = 150_000  # words whose hashes a task remembers
 SALTS = 64  # a frequent shingle's list is dealt over so many tasks
 BITMAP = 1 << 22
-FIRST = 8  # of two sets that share one of so many first lists, the pair is a row of one list only
+LONGEST = 32  # two sets that share one of their so many longest lists are a row of one list only
 SKETCH = 1024  # bits of a set's sketch
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -433,16 +433,17 @@ def _met(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of different labels that have enough lists in common for a link, and whose sketches allow one.
 
     Lists have one order, the long ones last. The first list that two linked sets share is followed, in either, by all
-    others that they share, so entries with less weight from there on than a link needs are left out. Where the first
-    lists of two sets meet, the pair is made in the first list that they share among those, otherwise in all.
+    others that they share, so entries with less weight from there on than a link needs are left out. Where two sets
+    share some of their longest lists, in which most pairs are, the pair is made in one of these, otherwise in all.
     """
     fits, key = _compatible(percent), F.struct("c", "key")
     there = lists.select("key", "a", "n", "w", "label").join(lists.groupBy("key").agg(F.count("*").alias("c")), "key")
     after = F.sum("w").over(Window.partitionBy("a").orderBy(F.desc("c"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
     there = written(there.withColumn("_after", after).where(F.col("_after") >= _needed(percent)), "entries")
     # a set has as many lists as its prefix is long, at most
-    first = there.groupBy("a").agg(F.transform(F.slice(F.array_sort(F.collect_list(key)), 1, FIRST), lambda x: x["key"]).alias("f"))
-    ours = there.join(first.join(sets.select("a", "s"), "a"), "a")
+    longest = F.slice(F.sort_array(F.collect_list(key), asc=False), 1, LONGEST)
+    longest = there.groupBy("a").agg(F.transform(longest, lambda x: x["key"]).alias("f"))
+    ours = there.join(longest.join(sets.select("a", "s"), "a"), "a")
     pairs = ours.selectExpr("key", "a u", "n un", "label ul", "f uf", "s x").join(ours.selectExpr("key", "a v", "n vn", "label vl", "f vf", "s y"), "key")
     pairs = pairs.where("ul < vl").where(fits("un", "vn")).where(_near(percent))
     return pairs.where("coalesce(get(array_intersect(uf, vf), 0), key) = key").select("u", "v").distinct()
